@@ -11,9 +11,9 @@ from .components import ceil_div, components
 from .shared import cut, prepare, sketch
 
 #: Counts of n-grams by the low bits of their hash: the global rare-first order. Its size is the bound of what is broadcast.
-ORDER_BITS = 20
+ORDER_BITS = 22
 #: Hash ranges whose counts make the suffix filter's lower bound of two sets' difference.
-RANGES = 16
+RANGES = 32
 
 _PREFIX = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("ranges", pa.list_(pa.int16())), ("prefix", pa.list_(pa.int64()))])
 _SETS = pa.schema([("doc", pa.int64()), ("grams", pa.list_(pa.int64()))])
@@ -31,7 +31,7 @@ def _sets(batch: pa.RecordBatch, k: int):
 
 def _prefixes(docs: DataFrame, k: int, percent: int, order: np.ndarray) -> DataFrame:
     """Per document: set size n, the set's signature (s1, s2), counts by hash range, and its rarest n-grams first."""
-    spread = docs.sparkSession.sparkContext.broadcast(order)
+    spread = docs.sparkSession.sparkContext.broadcast(np.minimum(order, 65535).astype(np.uint16))
     mask = np.uint64(len(order) - 1)
 
     def run(batches):
@@ -51,7 +51,7 @@ def _prefixes(docs: DataFrame, k: int, percent: int, order: np.ndarray) -> DataF
                 else:
                     first = np.lexsort((grams, rare))
                 done[i] = True
-                for name, value in zip(_PREFIX.names, (ids[i], n, int(grams.sum().view(np.int64)), int(tk.mix(grams).sum().view(np.int64)), np.minimum(np.bincount((grams >> np.uint64(60)).astype(np.int64), minlength=RANGES), 32767).astype(np.int16), grams[first].view(np.int64)), strict=True):
+                for name, value in zip(_PREFIX.names, (ids[i], n, int(grams.sum().view(np.int64)), int(tk.mix(grams).sum().view(np.int64)), np.minimum(np.bincount((grams >> np.uint64(59)).astype(np.int64), minlength=RANGES), 32767).astype(np.int16), grams[first].view(np.int64)), strict=True):
                     out[name].append(value)
             for i in np.flatnonzero(~done):
                 for name, value in zip(_PREFIX.names, (ids[i], 0, None, None, None, None), strict=True):
@@ -62,7 +62,7 @@ def _prefixes(docs: DataFrame, k: int, percent: int, order: np.ndarray) -> DataF
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(doc, grams) of the wanted ids. A fixed-size table of their hashes lets tasks skip most others before the join."""
+    """(doc, grams) of the wanted ids, and of a few more: a fixed-size table of ids' hashes says which texts to read."""
 
     def keys(batch):
         yield tk.mix(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
@@ -81,7 +81,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 grams.append(found.view(np.int64))
             yield pa.RecordBatch.from_pydict({"doc": docs, "grams": grams}, schema=_SETS)
 
-    return docs.mapInArrow(run, "doc long, grams array<long>").join(wanted, "doc", "left_semi").dropDuplicates(["doc"])
+    return docs.mapInArrow(run, "doc long, grams array<long>")
 
 
 def _need(na: Column, nb: Column, percent: int) -> Column:
@@ -101,13 +101,17 @@ def _passes(a: str, b: str, percent: int) -> Column:
     )
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, na, ra, b, nb, rb) that are similar: suffix filter, then the exact overlap, once per pair."""
+def _verified(pairs: DataFrame, sizes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that are similar: suffix filter by counts of hash ranges, then the exact overlap, once per pair."""
+    for x in ("a", "b"):
+        pairs = pairs.join(sizes.select(F.col("doc").alias(x), F.col("n").alias(f"n{x}"), F.col("ranges").alias(f"r{x}")), x)
     apart = F.aggregate(F.zip_with("ra", "rb", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, x: s + x)
-    near = pairs.where(apart <= F.col("na") + F.col("nb") - 2 * _need(F.col("na"), F.col("nb"), percent)).select("a", "b")
-    both = near.join(sets.select(F.col("doc").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("doc").alias("b"), F.col("grams").alias("gb")), "b")
-    shared = F.size(F.array_intersect("ga", "gb"))
-    return both.withColumn("shared", shared).where(100 * F.col("shared") >= percent * (F.size("ga") + F.size("gb") - F.col("shared"))).select("a", "b")
+    near = cut(pairs.where(apart <= F.col("na") + F.col("nb") - 2 * _need(F.col("na"), F.col("nb"), percent)).select("a", "b"))
+    wanted = near.select(F.col("a").alias("doc")).unionByName(near.select(F.col("b").alias("doc"))).distinct()
+    sets = _sets_of(docs, wanted, k)
+    both = near.join(sets.withColumnsRenamed({"doc": "a", "grams": "ga"}), "a").join(sets.withColumnsRenamed({"doc": "b", "grams": "gb"}), "b")
+    both = both.withColumn("shared", F.size(F.array_intersect("ga", "gb")))
+    return both.where(100 * F.col("shared") >= percent * (F.size("ga") + F.size("gb") - F.col("shared"))).select("a", "b").distinct()
 
 
 def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -142,30 +146,26 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFra
     rep = cut(
         full.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("doc"), F.min_by("ranges", "doc_id").alias("ranges"), F.min_by("prefix", "doc_id").alias("prefix"))
     )
-    rows = rep.select("doc", "n", F.posexplode("prefix").alias("pos", "gram")).select("gram", "doc", "n", F.col("pos").cast("long").alias("pos"))
-    pivots = rows.groupBy("gram").agg(F.min(F.struct("pos", "n", "doc")).alias("pivot"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
-    met = cut(rows.join(pivots, "gram"))  # rows of n-grams that several representatives hold in their prefixes
-    sets = cut(_sets_of(known, met.select("doc").distinct(), k))
+    rows = rep.select("doc", F.posexplode("prefix").alias("pos", "gram")).select("gram", "doc", "pos")
+    often = cut(rows.groupBy("gram").agg(F.count("*").alias("rows")).where("rows > 1").select("gram"))
+    met = rows.join(often, "gram", "left_semi").join(rep.select("doc", "n"), "doc").select("gram", "doc", "n", F.col("pos").cast("long").alias("pos"))
+    met = cut(met)  # rows of n-grams that several representatives hold in their prefixes
+    pivots = cut(met.groupBy("gram").agg(F.min(F.struct("pos", "n", "doc")).alias("pivot")))
     sizes = rep.select("doc", "n", "ranges")
-
-    def with_sizes(pairs):
-        for x in ("a", "b"):
-            pairs = pairs.join(sizes.select(F.col("doc").alias(x), F.col("n").alias(f"n{x}"), F.col("ranges").alias(f"r{x}")), x)
-        return pairs
-
-    first = met.select(F.struct("doc", "n", "pos").alias("x"), F.col("pivot").alias("y")).where("x.doc <> y.doc").where(_passes("x", "y", percent))
+    first = met.join(pivots, "gram").select(F.struct("doc", "n", "pos").alias("x"), F.col("pivot").alias("y")).where("x.doc <> y.doc").where(_passes("x", "y", percent))
     first = first.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
-    links = cut(_verified(with_sizes(first), sets, percent))
+    links = cut(_verified(first, sizes, known, k, percent))
     part = cut(components(links))
 
-    held = met.drop("pivot").join(part.withColumnRenamed("node", "doc"), "doc", "left").withColumn("part", F.coalesce("component", "doc")).drop("component")
+    held = met.join(part.withColumnRenamed("node", "doc"), "doc", "left").withColumn("part", F.coalesce("component", "doc")).drop("component")
     mixed = held.groupBy("gram", "part").agg(F.count("*").alias("rows")).groupBy("gram").agg(F.max_by("part", F.struct("rows", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    mixed = cut(mixed)
     held = cut(held.join(mixed, "gram"))
     x = held.where("part <> main").alias("x")
     y = held.alias("y")
     second = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.part") != F.col("y.part")) & ((F.col("y.part") == F.col("y.main")) | (F.col("y.doc") < F.col("x.doc"))) & _passes("x", "y", percent))
     second = second.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
-    more = _verified(with_sizes(second), sets, percent)
+    more = _verified(second, sizes, known, k, percent)
     joined = components(links.unionByName(more)).withColumnRenamed("node", "doc")
 
     named = rep.select("s1", "s2", "n", "doc").join(joined, "doc", "left").select("s1", "s2", "n", F.coalesce("component", "doc").alias("component"))

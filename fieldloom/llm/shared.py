@@ -139,10 +139,22 @@ def sketch(df: DataFrame, keys, bits: int, columns: list[str]) -> np.ndarray:
 
         from pyspark import TaskContext
 
-        table = np.zeros(size, np.uint32)
+        table, held, n = np.zeros(size, np.uint32), [], 0
+
+        def add():
+            low = (np.concatenate(held) & np.uint64(size - 1)).astype(np.int64)
+            found, times = np.unique(low, return_counts=True)
+            table[found] += times.astype(np.uint32)
+
         for batch in batches:
             for h in keys(batch):
-                table += np.bincount((h & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint32)
+                held.append(h)
+                n += len(h)
+                if n >= 1 << 20:
+                    add()
+                    held, n = [], 0
+        if n:
+            add()
         part = TaskContext.get().partitionId()
         for i in range(slices):
             piece = table[i * width : (i + 1) * width]
