@@ -7,14 +7,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import textkit as tk
-from .shared import prepare
+from .shared import cut, prepare
 
 #: A run is at least so many sentences and words. Passages of over 50 words hold several such runs.
 SENTENCES, WORDS = 3, 20
 #: Long sentences are cut after words whose hash is 0 in these bits (one in 8), wherever the sentence began.
 CUT_MASK = np.uint64(7)
 
-_RUNS = pa.schema([("run", pa.int64()), ("doc_id", pa.int64()), ("first", pa.int32()), ("stop", pa.int32())])
+#: Where a run stands: its first sentence times LENGTHS, plus how many sentences it has.
+LENGTHS = 1 << 10
+
+_RUNS = pa.schema([("run", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64())])
 
 
 class Sentences:
@@ -46,7 +49,17 @@ class Sentences:
         return both // len(e), both % len(e)
 
 
+def _first_in_row(h: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Whether each run, in order, is the first of its kind in its row."""
+    _, once = np.unique(tk.mix(h + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
+    out = np.zeros(len(h), bool)
+    out[once] = True
+    return out
+
+
 def _runs(docs: DataFrame, sentences: int, words: int) -> DataFrame:
+    """(run, doc_id, at): each document's first occurrence of each of its runs."""
+
     def run(batches):
         for batch in batches:
             ids = tk.column(batch, "doc_id").to_numpy(zero_copy_only=False)
@@ -57,23 +70,30 @@ def _runs(docs: DataFrame, sentences: int, words: int) -> DataFrame:
                 s = Sentences(w, hashes)
                 u, v = s.runs(sentences, words)
                 row = np.searchsorted(s.first, u, "right") - 1
-                h = tk.runs(hashes, s.edges[u], s.edges[v]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids[a + row], pa.int64()), pa.array((u - s.first[row]).astype(np.int32)), pa.array((v - s.first[row]).astype(np.int32))], schema=_RUNS)
+                h = tk.runs(hashes, s.edges[u], s.edges[v])
+                first = _first_in_row(h, row)
+                u, v, row, h = u[first], v[first], row[first], h[first].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids[a + row], pa.int64()), pa.array((u - s.first[row]) * LENGTHS + (v - u))], schema=_RUNS)
 
-    return docs.mapInArrow(run, "run long, doc_id long, first int, stop int")
+    return docs.mapInArrow(run, "run long, doc_id long, at long")
 
 
 def repeated_runs(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS) -> DataFrame:
-    """doc_id, first, stop (sentence numbers in the document): every occurrence of a run but the corpus's first, by (doc_id, first).
+    """doc_id, first, stop (sentence numbers in the document): runs that a document with a smaller doc_id holds too.
 
-    Occurrences are counted with one partial count and minimum per task before the shuffle;
-    the join back is on the run, and Spark may split a run that very many documents hold.
+    The smallest doc_id of each run is found with a partial minimum per task before the
+    shuffle. The join back is of rows with a cut table, on the run, so Spark may split a run
+    that very many documents hold.
     """
     prepare(docs.sparkSession)
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    if max(sentences, words) >= LENGTHS:
+        raise ValueError(f"runs have less than {LENGTHS} sentences and words")
     rows = _runs(known, sentences, words)
-    again = rows.groupBy("run").agg(F.min(F.struct("doc_id", "first")).alias("origin"), F.max(F.struct("doc_id", "first")).alias("final")).where("origin <> final").select("run", "origin")
-    return rows.join(again, "run").where(F.struct("doc_id", "first") != F.col("origin")).select("doc_id", "first", "stop").distinct()
+    origins = cut(rows.groupBy("run").agg(F.min("doc_id").alias("origin"), F.count("*").alias("times")).where("times > 1").select("run", "origin"))
+    later = rows.join(origins, "run").where("doc_id <> origin").select("doc_id", "at").distinct()
+    first = F.floor(F.col("at") / LENGTHS).cast("int")
+    return later.select("doc_id", first.alias("first"), (first + F.pmod("at", F.lit(LENGTHS))).cast("int").alias("stop"))
 
 
 def without_repeats(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS, counts: bool = False) -> DataFrame:
@@ -100,28 +120,33 @@ def without_repeats(docs: DataFrame, sentences: int = SENTENCES, words: int = WO
         for batch in batches:
             text = tk.column(batch, "text").cast(pa.string())
             first, stop = batch.column(len(names)), batch.column(len(names) + 1)
-            touched = np.flatnonzero(~np.asarray(first.is_null()))
             new, total, removed = text.to_pylist(), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-            rows = range(batch.num_rows) if counts else touched
-            for i in map(int, rows):
-                data, at = tk.utf8(text.slice(i, 1))
-                w = tk.Words(data, at)
-                s = Sentences(w, w.hashes())
+            data, offsets = tk.utf8(text)
+            for a, b, piece, at in tk.chunks(data, offsets):
+                w = tk.Words(piece, at)
+                hashes = w.hashes()
+                s = Sentences(w, hashes)
+                u, v = s.runs(sentences, words)
+                row = np.searchsorted(s.first, u, "right") - 1
+                own = ~_first_in_row(tk.runs(hashes, s.edges[u], s.edges[v]), row)
+                starts, stops = [u[own]], [v[own]]  # runs that the document itself holds before
+                for i in np.flatnonzero(np.asarray(first.slice(a, b - a).is_valid())).tolist():
+                    starts.append(np.minimum(np.array(first[a + i].as_py(), np.int64) + s.first[i], s.first[i + 1]))
+                    stops.append(np.minimum(np.array(stop[a + i].as_py(), np.int64) + s.first[i], s.first[i + 1]))
                 n = len(s.edges) - 1
-                total[i] = n
-                if not first[i].is_valid:
-                    continue
-                cover = np.zeros(n + 1, np.int64)
-                a, b = (np.minimum(np.array(x[i].as_py(), np.int64), n) for x in (first, stop))
-                np.add.at(cover, a, 1)
-                np.add.at(cover, b, -1)
-                gone = np.flatnonzero(np.cumsum(cover)[:n] > 0)
-                removed[i] = len(gone)
-                begins = np.append(w.starts[s.edges[:-1]], len(data)) if n else np.array([len(data)])
-                keep = np.ones(len(data), bool)
-                for g in gone:
-                    keep[begins[g] : begins[g + 1]] = False
-                new[i] = data[keep].tobytes().decode("utf-8")
+                cover = np.bincount(np.concatenate(starts), minlength=n + 1) - np.bincount(np.concatenate(stops), minlength=n + 1)
+                gone = np.cumsum(cover)[:n] > 0
+                sums = np.concatenate([[0], np.cumsum(gone)])
+                total[a:b], removed[a:b] = np.diff(s.first), np.diff(sums[s.first])
+                begins = np.append(w.starts[s.edges[:-1]], len(piece))
+                ends = np.minimum(begins[1:], at[1:][np.repeat(np.arange(b - a), np.diff(s.first))])
+                for i in np.flatnonzero(removed[a:b]).tolist():
+                    keep = np.ones(at[i + 1] - at[i], bool)
+                    for g in range(s.first[i], s.first[i + 1]):
+                        if gone[g]:
+                            keep[begins[g] - at[i] : ends[g] - at[i]] = False
+                    new[a + i] = piece[at[i] : at[i + 1]][keep].tobytes().decode("utf-8")
+            touched = np.flatnonzero(removed)
             columns = list(batch.columns[: len(names)])
             columns[names.index("text")] = pa.array(new, pa.string())
             if "n_chars" in names and len(touched):
