@@ -1 +1 @@
-
+"""Sources and sinks: mesh files, trajectories, kernel stores, generators."""

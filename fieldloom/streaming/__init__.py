@@ -1 +1 @@
-
+"""Graph-field integration over streams of field updates."""
