@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -17,7 +19,7 @@ NGRAMS = (3, 4, 5, 6)
 #: The classifier is fitted on at most this many labelled rows of each class.
 PER_CLASS = 2000
 STEPS, RATE, BATCH = 600, 0.5, 64
-#: Only subwords of at least so many fitted documents, and of at most this share of them, get an embedding; the others keep 0.
+#: Only subwords of at least so many fitted documents, and of at most this share of either class, get an embedding; the others keep 0.
 LEAST_DOCS, MOST_SHARE = 3, 0.3
 #: So many neutral subwords join each average, so that a few words alone do not decide.
 SHRINK = 50
@@ -66,7 +68,7 @@ def _bags(batch: pa.RecordBatch):
             yield a + i, found.astype(np.uint32), np.bincount(where, times[owner], len(found)).astype(np.float32)
 
 
-def train(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, seed: int = 7) -> tuple[np.ndarray, float]:
+def train(bags: Sequence[tuple[np.ndarray, np.ndarray]], y: np.ndarray, seed: int = 7) -> tuple[np.ndarray, float]:
     """Embeddings and softmax, fitted jointly by Adagrad on mini-batches; returned as what each bucket adds to the class-1 logit, and the bias.
 
     The classes weigh alike in fitting.
@@ -75,13 +77,18 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, seed: int =
     n = 1 << BITS
     if len(set(y.tolist())) < 2:
         return np.zeros(n, np.float32), 40.0 if len(y) and y[0] == 1 else -40.0
-    many = np.bincount(np.concatenate([b for b, _ in bags]), minlength=n)
-    known = np.flatnonzero((many >= LEAST_DOCS) & (many <= max(LEAST_DOCS, MOST_SHARE * len(bags))))
-    slot = np.full(n, -1)
+    many = np.zeros((2, n), np.int64)
+    for (b, _), kind in zip(bags, y, strict=True):
+        many[kind, b] += 1
+    common = (many > MOST_SHARE * np.bincount(y, minlength=2)[:, None]).all(0)
+    known = np.flatnonzero((many.sum(0) >= LEAST_DOCS) & ~common)
+    slot = np.full(n, -1, np.int32)
     slot[known] = np.arange(len(known))
-    kept = [slot[b] >= 0 for b, _ in bags]
-    index = [slot[b][k] for (b, _), k in zip(bags, kept, strict=True)]
-    shares = [(c / (c.sum() + SHRINK))[k].astype(np.float32) for (_, c), k in zip(bags, kept, strict=True)]
+    index, shares = [], []
+    for b, c in bags:
+        kept = slot[b] >= 0
+        index.append(slot[b][kept])
+        shares.append((c / (c.sum() + SHRINK))[kept].astype(np.float32))
     emb = (rng.uniform(-1, 1, (DIM, len(known))) / DIM).astype(np.float32)
     out, bias = rng.uniform(-0.1, 0.1, (2, DIM)), np.zeros(2)
     g_emb, g_out, g_bias = np.full(emb.shape, 1e-8, np.float32), np.full_like(out, 1e-8), np.full_like(bias, 1e-8)
@@ -125,8 +132,21 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
             got = [(ids[i].as_py(), ys[i].as_py(), pack(b), pack(c)) for i, b, c in _bags(batch)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)] if got else [pa.array([], t) for t in (pa.int64(), pa.int32(), pa.binary(), pa.binary())], names=["doc_id", "y", "buckets", "counts"])
 
-    bags = sorted(rows.mapInArrow(run, "doc_id long, y int, buckets binary, counts binary").collect())
-    return train([(unpack(r.buckets, np.uint32), unpack(r.counts, np.float32)) for r in bags], np.array([r.y for r in bags], np.int64))
+    got = sorted((r.doc_id, r.y, bytes(r.buckets), bytes(r.counts)) for r in rows.mapInArrow(run, "doc_id long, y int, buckets binary, counts binary").toLocalIterator())
+    return train(Packed([g[2:] for g in got]), np.array([g[1] for g in got], np.int64))
+
+
+class Packed(Sequence):
+    """Bags of subwords that stay compressed until one is read."""
+
+    def __init__(self, blobs: list[tuple[bytes, bytes]]):
+        self.blobs = blobs
+
+    def __len__(self) -> int:
+        return len(self.blobs)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        return unpack(self.blobs[i][0], np.uint32), unpack(self.blobs[i][1], np.float32)
 
 
 def scored(docs: DataFrame, model: tuple[np.ndarray, float], out: str = "score") -> DataFrame:
