@@ -51,7 +51,9 @@ def bfs_tree(edges: DataFrame, root: int) -> DataFrame:
         new = cut(reach.join(seen.select("v"), "v", "left_anti").select("v", F.lit(level).cast("long").alias("level"), "parent"))
         if new.isEmpty():
             return seen
-        seen = cut(seen.unionByName(new))
+        seen = seen.unionByName(new)
+        if level % 8 == 0:
+            seen = cut(seen)
 
 
 def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:

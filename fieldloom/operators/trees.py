@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from .paths import all_pairs, bfs_tree
 from .stage import cut
 
+#: Levels that one plan passes before its lineage is cut.
+EVERY = 3
+
 TREE = "tree_id long, node long, parent long, w double, level long"
 
 
@@ -58,21 +61,19 @@ def integrate(tree: DataFrame, field: DataFrame, rate: float) -> DataFrame:
     f = F.exp(F.lit(float(rate)) * F.col("w"))
     ks = field.select("k").distinct()
     base = tree.crossJoin(ks).join(field.withColumnRenamed("v", "node"), ["node", "k"], "left")  # one row for each node and field column
-    up = cut(base.select("tree_id", "node", "parent", "w", "level", "k", F.coalesce("x", F.lit(0.0)).alias("p")))
-    depth = up.agg(F.max("level")).first()[0] or 0
-    for level in range(depth, 0, -1):
-        add = up.where(F.col("level") == level).groupBy("tree_id", F.col("parent").alias("node"), "k").agg(F.sum(f * F.col("p")).alias("add"))
-        up = up.join(add, ["tree_id", "node", "k"], "left").withColumn("p", F.col("p") + F.coalesce("add", F.lit(0.0))).drop("add")
-        if level % 4 == 1:
-            up = cut(up)
-    up = cut(up)
-    done = up.where("level = 0").select("tree_id", "node", "k", F.col("p").alias("s"))
+    base = cut(base.select("tree_id", "node", "parent", "w", "level", "k", F.coalesce("x", F.lit(0.0)).alias("p")))
+    depth = base.agg(F.max("level")).first()[0] or 0
+    up = {depth: base.where(F.col("level") == depth)}
+    for level in range(depth - 1, -1, -1):  # only two levels meet in a join
+        add = up[level + 1].groupBy("tree_id", F.col("parent").alias("node"), "k").agg(F.sum(f * F.col("p")).alias("add"))
+        row = base.where(F.col("level") == level).join(add, ["tree_id", "node", "k"], "left").withColumn("p", F.col("p") + F.coalesce("add", F.lit(0.0))).drop("add")
+        up[level] = cut(row) if (depth - level) % EVERY == 0 else row
+    done = up[0].select("tree_id", "node", "k", F.col("p").alias("s"))
     out = done
     for level in range(1, depth + 1):
         above = done.withColumnRenamed("node", "parent")
-        done = up.where(F.col("level") == level).join(above, ["tree_id", "parent", "k"]).select("tree_id", "node", "k", (f * F.col("s") + (1 - f * f) * F.col("p")).alias("s"))
-        if level % 4 == 0:
-            done = cut(done)
+        done = up[level].join(above, ["tree_id", "parent", "k"]).select("tree_id", "node", "k", (f * F.col("s") + (1 - f * f) * F.col("p")).alias("s"))
+        done = cut(done) if level % EVERY == 0 else done
         out = out.unionByName(done)
     return out.select("tree_id", F.col("node").alias("v"), "k", F.col("s").alias("x"))
 
@@ -83,11 +84,16 @@ def mean_over_trees(results: DataFrame) -> DataFrame:
 
 def subtree_sums(tree: DataFrame, costs: DataFrame) -> DataFrame:
     """(v, x): each node's cost plus that of all its descendants."""
-    up = cut(tree.join(costs.withColumnRenamed("v", "node"), "node", "left").select("node", "parent", "level", F.coalesce("x", F.lit(0.0)).alias("x")))
-    for level in range(up.agg(F.max("level")).first()[0] or 0, 0, -1):
-        add = up.where(F.col("level") == level).groupBy(F.col("parent").alias("node")).agg(F.sum("x").alias("add"))
-        up = cut(up.join(add, "node", "left").withColumn("x", F.col("x") + F.coalesce("add", F.lit(0.0))).drop("add"))
-    return up.select(F.col("node").alias("v"), "x")
+    base = cut(tree.join(costs.withColumnRenamed("v", "node"), "node", "left").select("node", "parent", "level", F.coalesce("x", F.lit(0.0)).alias("x")))
+    depth = base.agg(F.max("level")).first()[0] or 0
+    row = base.where(F.col("level") == depth)
+    out = row
+    for level in range(depth - 1, -1, -1):
+        add = row.groupBy(F.col("parent").alias("node")).agg(F.sum("x").alias("add"))
+        row = base.where(F.col("level") == level).join(add, "node", "left").withColumn("x", F.col("x") + F.coalesce("add", F.lit(0.0))).drop("add")
+        row = cut(row) if (depth - level) % EVERY == 0 else row
+        out = out.unionByName(row)
+    return out.select(F.col("node").alias("v"), "x")
 
 
 def distances(tree: DataFrame) -> DataFrame:
