@@ -235,3 +235,107 @@ def partition(graph: DataFrame, clusters: int, beta: float = 0.1, outer: int = 3
     ct = pt.select(F.col("v").alias("i"), F.col("v").alias("j"), "x")
     plan, _ = proximal(graph, ct, ps, pt, beta, outer, inner)
     return cluster_assignment(plan, pt)
+
+
+def update_distribution(theta: DataFrame, g: DataFrame, rate: float) -> tuple[DataFrame, DataFrame]:
+    """(theta, p): one gradient step on the logits of a node distribution, and the distribution (v, x) they give."""
+    new = theta.join(softmax_gradient(theta, g).withColumnRenamed("x", "d"), "v").select("v", (F.col("x") - rate * F.col("d")).alias("x"))
+    p = new.select("v", F.exp("x").alias("e"))
+    return new, p.select("v", (F.col("e") / F.sum("e").over(W.partitionBy())).alias("x"))
+
+
+def recursive_partition(graph: DataFrame, clusters: int = 2, most: int = 8, depth: int = 6, **options) -> DataFrame:
+    """(v, cluster): parts of at most ``most`` nodes, or that a partition does not split any further; cluster is the path of choices."""
+    every = graph.select(F.col("i").alias("v")).unionByName(graph.select(F.col("j").alias("v"))).distinct()
+    out, todo = None, [("r", cut(every))]
+    for _ in range(depth):
+        left = []
+        for name, part in todo:
+            n = part.count()
+            inside = cut(graph.join(part.select(F.col("v").alias("i")), "i", "left_semi").join(part.select(F.col("v").alias("j")), "j", "left_semi"))
+            done = n <= most or inside.isEmpty()
+            if not done:
+                label = cut(partition(inside, clusters, **options))
+                kinds = [r[0] for r in label.select("cluster").distinct().orderBy("cluster").collect()]  # at most ``clusters``
+                done = len(kinds) < 2
+            if done:
+                row = part.select("v", F.lit(name).alias("cluster"))
+                out = row if out is None else out.unionByName(row)
+            else:
+                left += [(f"{name}>{k}", cut(label.where(F.col("cluster") == k).select("v"))) for k in kinds]
+                alone = part.join(label.select("v"), "v", "left_anti").select("v", F.lit(f"{name}>-").alias("cluster"))
+                out = alone if out is None else out.unionByName(alone)
+        todo = left
+    for name, part in todo:
+        row = part.select("v", F.lit(name).alias("cluster"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def multi_partition(graphs: DataFrame, clusters: int, iterations: int = 3, beta: float = 0.1) -> DataFrame:
+    """(g, v, cluster): all graphs (g, i, j, x) partitioned alike, by their plans onto a common barycenter."""
+    plans = to_barycenter(graphs, clusters, iterations, beta)
+    best = plans.groupBy("g", "i").agg(F.min(F.struct((-F.col("x")).alias("x"), "j")).alias("b"))
+    return best.select("g", F.col("i").alias("v"), F.col("b.j").alias("cluster"))
+
+
+def to_barycenter(graphs: DataFrame, size: int, iterations: int = 3, beta: float = 0.1) -> DataFrame:
+    """(g, i, j, x): each graph's plan onto the barycenter of all."""
+    centre = barycenter(graphs, size, iterations, beta)
+    c = np.zeros((size, size))
+    for r in centre.collect():  # size x size numbers
+        c[r.i, r.j] = r.x
+
+    def plan(key, part: pd.DataFrame) -> pd.DataFrame:
+        ids = np.unique(part[["i", "j"]])
+        cs, p, q = _dense(part, ids), np.full(len(ids), 1 / len(ids)), np.full(size, 1 / size)
+        t, _ = conditional_gradient(np.zeros((len(ids), size)), cs, c, p, q, 1.0)
+        i, j = np.meshgrid(ids, np.arange(size), indexing="ij")
+        return pd.DataFrame({"g": key[0], "i": i.ravel(), "j": j.ravel(), "x": t.ravel()})
+
+    return graphs.groupBy("g").applyInPandas(plan, "g long, i long, j long, x double")
+
+
+def indirect_matching(graphs: DataFrame, size: int, first: int, second: int, iterations: int = 3, beta: float = 0.1) -> DataFrame:
+    """(i, j, x): one-to-one pairs of two graphs' nodes that meet on the barycenter of all graphs."""
+    plans = cut(to_barycenter(graphs, size, iterations, beta))
+    of = lambda g: plans.where(F.col("g") == g).select("i", "j", "x")
+    return greedy_matching(la.scale(la.matmul(of(first), la.transpose(of(second))), float(size))).select("i", "j", "x")
+
+
+def recursive_matching(pairs: DataFrame, most: int = 64) -> DataFrame:
+    """(pair, i, j): both graphs of each pair split in two by a common plan, over and over, down to at most ``most`` nodes, and there matched by exact plans. One task for each pair."""
+
+    def one(key, part: pd.DataFrame) -> pd.DataFrame:
+        sides = [part[part["side"] == s] for s in (0, 1)]
+        ids = [np.unique(s["i"]) for s in sides]
+        c = [_dense(s, i) for s, i in zip(sides, ids, strict=True)]
+        rows: list[tuple] = []
+
+        def match(a: np.ndarray, b: np.ndarray) -> None:
+            if not len(a) or not len(b):
+                return
+            c1, c2 = c[0][np.ix_(a, a)], c[1][np.ix_(b, b)]
+            if max(len(a), len(b)) > most:
+                core = np.array([[0.0, max(c1.mean(), c2.mean()) * 2], [max(c1.mean(), c2.mean()) * 2, 0.0]])
+                halves = []
+                for x in (c1, c2):
+                    t, _ = conditional_gradient(np.zeros((len(x), 2)), x, core, np.full(len(x), 1 / len(x)), np.full(2, 0.5), 1.0, 20)
+                    halves.append(t.argmax(1))
+                if all(0 < h.sum() < len(h) for h in halves):
+                    for k in (0, 1):
+                        match(a[halves[0] == k], b[halves[1] == k])
+                    return
+            t, _ = conditional_gradient(np.zeros((len(a), len(b))), c1, c2, np.full(len(a), 1 / len(a)), np.full(len(b), 1 / len(b)), 1.0, 30)
+            left, right = set(), set()
+            for at in np.argsort(-t, axis=None, kind="stable"):
+                i, j = divmod(int(at), len(b))
+                if i not in left and j not in right and t[i, j] > 0:
+                    left.add(i)
+                    right.add(j)
+                    rows.append((key[0], int(ids[0][a[i]]), int(ids[1][b[j]])))
+
+        match(np.arange(len(ids[0])), np.arange(len(ids[1])))
+        return pd.DataFrame(rows, columns=["pair", "i", "j"])
+
+    return pairs.groupBy("pair").applyInPandas(one, "pair long, i long, j long")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.columns import METRICS, exponential, r6
-from ..operators import graphs, gromov, integrators, kernels, mesh, paths, planar, tasks, transport, trees
+from ..operators import factor, graphs, gromov, integrators, kernels, mesh, paths, planar, tasks, transport, trees
 from ..operators import linalg as la
 from ..operators.stage import cut
 from . import tables as t
@@ -479,6 +479,15 @@ def separator_integrate_1level(spark: SparkSession, d: str) -> DataFrame:
     return _field(integrators.Separator(e, parts, exponential(0.3)).integrate(f))
 
 
+@query()
+def separator_integrate(spark: SparkSession, d: str) -> DataFrame:
+    """Integration through separators of separators, down to parts of less than 200 vertices."""
+    e = t.grid_edges(spark)
+    v = e.select(F.col("src").alias("v")).distinct()
+    f = v.select("v", F.lit(0).alias("k"), (1 + F.col("v") % 7).cast("double").alias("x"))
+    return _field(factor.RecursiveSeparator(e, v, exponential(0.3), threshold=200).integrate(f))
+
+
 @query()
 def lipton_tarjan_labels(spark: SparkSession, d: str) -> DataFrame:
     """Parts of lattices and random planar graphs; tests check balance, size, and that no edge joins the parts."""
@@ -801,11 +810,7 @@ def fgw_cg(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def gw_barycenter(spark: SparkSession, d: str) -> DataFrame:
     """A centre of four nodes for the regions' graphs."""
-    a = t.trade(spark, d)
-    r = t.region_seeds(spark, d)
-    end = lambda k, g: r.select(F.col("v").alias(k), F.col("set_id").alias(g))
-    parts = a.join(end("i", "g"), "i").join(end("j", "h"), "j").where("g = h").select("g", "i", "j", (1.0 / (1.0 + F.col("x") / 100.0)).alias("x"))
-    return _matrix(gromov.barycenter(cut(parts), 4, 3))
+    return _matrix(gromov.barycenter(_region_graphs(spark, d), 4, 3))
 
 
 @query()
@@ -815,6 +820,30 @@ def gw_partition(spark: SparkSession, d: str) -> DataFrame:
     return gromov.partition(cut(a.withColumn("x", F.col("x") / F.max("x").over(W.partitionBy()))), 3, 0.1)
 
 
+def _region_graphs(spark, d):
+    a, r = t.trade(spark, d), t.region_seeds(spark, d)
+    end = lambda k, g: r.select(F.col("v").alias(k), F.col("set_id").alias(g))
+    return cut(a.join(end("i", "g"), "i").join(end("j", "h"), "j").where("g = h").select("g", "i", "j", (1.0 / (1.0 + F.col("x") / 100.0)).alias("x")))
+
+
+@query()
+def gw_multi_partition(spark: SparkSession, d: str) -> DataFrame:
+    """Every region's nations in two clusters by plans onto a common barycenter."""
+    return gromov.multi_partition(_region_graphs(spark, d), 2)
+
+
+@query()
+def indirect_match(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of two regions' nations that meet on the barycenter of all regions."""
+    return _matrix(gromov.indirect_matching(_region_graphs(spark, d), 4, 2, 3), 1000)
+
+
+@query()
+def recursive_match(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of clouds split in step down to small parts and matched there."""
+    return gromov.recursive_matching(_label_pairs(spark, d), 16)
+
+
 # ---- meshes, trajectories, clouds ----------------------------------------------------------------------
 
 _CORNERS = f"""{t.GRID},

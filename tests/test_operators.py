@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions import dense
 from fieldloom.functions.columns import exponential
-from fieldloom.operators import gromov, integrators, kernels, mesh, paths, planar, transport, trees
+from fieldloom.operators import factor, gromov, integrators, kernels, mesh, paths, planar, transport, trees
 from fieldloom.operators import linalg as la
 from fieldloom.sources import generate, meshes, store, trajectories
 from fieldloom.streaming import incremental
@@ -86,6 +86,25 @@ def test_separator_of_one_side_bridge(spark):
     assert close(values(integrators.Separator(e, parts, exponential(0.4)).integrate(f)), exact)
 
 
+@pytest.mark.parametrize("threshold", [3, 8, 100])
+def test_separators_of_a_path_are_exact(spark, threshold):
+    e = spark.createDataFrame(both_ways([(i, i + 1, 1.0) for i in range(20)]), "src long, dst long, w double")
+    f = spark.createDataFrame([(v, 0, float(v % 4)) for v in range(21)], "v long, k int, x double")
+    exact = values(integrators.BruteForce(e, exponential(0.4)).integrate(f))
+    assert close(values(factor.RecursiveSeparator(e, f.select("v"), exponential(0.4), threshold=threshold).integrate(f)), exact)
+
+
+def test_matching_of_copies(spark):
+    rng = np.random.default_rng(3)
+    x = rng.uniform(size=(9, 2))
+    c = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    rows = [(0, s, i, j, float(c[i, j]), 0) for s in (0, 1) for i in range(9) for j in range(9)]
+    pairs = spark.createDataFrame(rows, "pair long, side int, i long, j long, x double, label long")
+    for most in (64, 4):
+        got = gromov.recursive_matching(pairs, most).collect()
+        assert len({r.i for r in got}) == len(got) == len({r.j for r in got}) and len(got) >= 8
+
+
 @pytest.mark.parametrize("size,density,seed", [(3, 1.0, 0), (16, 0.7, 1), (120, 1.0, 2), (300, 0.7, 3), (300, 0.4, 4)])
 def test_planar_separator_guarantees(size, density, seed):
     adj = planar.random_planar(size, density, seed)
