@@ -102,7 +102,10 @@ def _passes(a: str, b: str, percent: int) -> Column:
 
 
 def _verified(pairs: DataFrame, sizes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are similar: suffix filter by counts of hash ranges, then the exact overlap, once per pair."""
+    """The pairs (a, b) that are similar: suffix filter by counts of hash ranges, then the exact overlap, once per pair.
+
+    Nothing above the joins asks for their partitioning, so Spark may split a pivot that very many pairs name.
+    """
     for x in ("a", "b"):
         pairs = pairs.join(sizes.select(F.col("doc").alias(x), F.col("n").alias(f"n{x}"), F.col("ranges").alias(f"r{x}")), x)
     apart = F.aggregate(F.zip_with("ra", "rb", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, x: s + x)
@@ -111,7 +114,7 @@ def _verified(pairs: DataFrame, sizes: DataFrame, docs: DataFrame, k: int, perce
     sets = _sets_of(docs, wanted, k)
     both = near.join(sets.withColumnsRenamed({"doc": "a", "grams": "ga"}), "a").join(sets.withColumnsRenamed({"doc": "b", "grams": "gb"}), "b")
     both = both.withColumn("shared", F.size(F.array_intersect("ga", "gb")))
-    return both.where(100 * F.col("shared") >= percent * (F.size("ga") + F.size("gb") - F.col("shared"))).select("a", "b").distinct()
+    return both.where(100 * F.col("shared") >= percent * (F.size("ga") + F.size("gb") - F.col("shared"))).select("a", "b")
 
 
 def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
