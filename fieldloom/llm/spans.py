@@ -102,9 +102,9 @@ def without_repeats(docs: DataFrame, sentences: int = SENTENCES, words: int = WO
     A sentence ends after a word that ends in . ! or ?, at a line break, and inside long
     sentences at words chosen by their content. Runs are compared word by word, A-Z in lower
     case. The first occurrence stays, in the smallest doc_id and there at the smallest place.
-    Null texts stay null, rows with a null doc_id and documents without a repeated run stay as
-    they are; repeated rows of one doc_id count as one document. ``counts`` adds n_sentences and
-    n_removed.
+    Null texts stay null and documents without a repeated run stay as they are. Rows with a null
+    doc_id lose only what they repeat themselves; rows that share a doc_id count as one
+    document. ``counts`` adds n_sentences and n_removed.
     """
     names = docs.columns
     mark = "_covered"
