@@ -12,6 +12,7 @@ import shutil
 import tempfile
 import uuid
 import zlib
+from contextlib import contextmanager
 from urllib.parse import urlparse
 
 import numpy as np
@@ -39,10 +40,30 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: Spark's switch that removes a query's shuffle files when the query ends, not when the driver next collects its garbage.
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def freed(spark: SparkSession):
+    """Queries planned and run in here leave no shuffle files behind: for results that are stored or collected at once."""
+    before = spark.conf.get(_FREE, None)
+    spark.conf.set(_FREE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_FREE) if before is None else spark.conf.set(_FREE, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, computed now and read back from the shared folder from now on."""
+    """The same rows, computed now and read back from the shared folder from now on.
+
+    The shuffles that made them go as soon as the files are complete, so disk holds the kept
+    tables and one step's shuffles, not those of every step so far.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with freed(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)  # a plan of its own, made under the switch
 
 
 class Store:
@@ -169,7 +190,9 @@ def sketch(df: DataFrame, keys, bits: int, columns: list[str]) -> np.ndarray:
             break
         n = -(-n // FAN_IN)
     total = np.zeros(size, np.uint32)
-    for row in parts.collect():
+    with freed(df.sparkSession):
+        found = parts.select("*").collect()
+    for row in found:
         total[row.slice * width : (row.slice + 1) * width] = np.frombuffer(zlib.decompress(row.counts), np.uint32)
     return total
 
