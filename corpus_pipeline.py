@@ -49,6 +49,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = shared.Store.new(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{store.folder}/{name}")
+        kept = stage(spark, docs, sf_dir)
+        with shared.freed(spark):
+            kept.write.parquet(f"{store.folder}/{name}")
         docs = spark.read.parquet(f"{store.folder}/{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
