@@ -15,6 +15,21 @@ ORDER_BITS = 22
 #: Hash ranges whose counts make the suffix filter's lower bound of two sets' difference.
 RANGES = 32
 
+#: DuckDB SQL for the rows of ``similar_documents(docs, k=3, percent=90)``.
+ORACLE = r"""WITH RECURSIVE texts AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') ws FROM documents),
+grams AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(ws) < 3 THEN array_to_string(ws, ' ') ELSE ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] END g
+  FROM texts, unnest(range(1, greatest(len(ws) - 1, 2))) t(i) WHERE len(ws) > 0),
+sizes AS (SELECT doc_id, count(*) n FROM grams GROUP BY 1),
+shared AS (SELECT x.doc_id a, y.doc_id b, count(*) c FROM grams x JOIN grams y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * c >= 90 * (p.n + q.n - c)),
+ends AS (SELECT a u, b v FROM links UNION ALL SELECT b, a FROM links),
+reach(doc_id, root) AS (SELECT doc_id, doc_id FROM sizes UNION SELECT v, root FROM reach JOIN ends ON u = doc_id),
+parts AS (SELECT doc_id, min(root) component_id FROM reach GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) n_shingles, coalesce(component_id, doc_id) component_id
+FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN parts USING (doc_id)"""
+
 _PREFIX = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("ranges", pa.list_(pa.int16())), ("prefix", pa.list_(pa.int64()))])
 _SETS = pa.schema([("doc", pa.int64()), ("grams", pa.list_(pa.int64()))])
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fieldloom.llm import ann, jaccard, licenses, lm, media, mixing, packing, quality, spans, toxicity
+from fieldloom.llm import ann, jaccard, licenses, lm, media, mixing, packing, quality, shared, spans, toxicity
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 PASSAGE = " ".join(f"shared{i} word{i}." if i % 5 == 4 else f"shared{i} word{i}" for i in range(40))
@@ -332,6 +332,23 @@ def test_jaccard_against_brute_force(spark, k, percent):
     assert got == {i: (len(s), group[i]) for i, s in enumerate(sets)}
 
 
+def test_jaccard_gives_the_rows_of_its_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    for folder in ("/root/testdata/sf0.001", "/root/testdata/sf0.01"):
+        con = duckdb.connect()
+        con.sql(f"create view documents as select * from '{folder}/documents.parquet'")
+        want = sorted(con.sql(f"select doc_id, n_shingles, component_id from ({jaccard.ORACLE})").fetchall())
+        got = jaccard.similar_documents(spark.read.parquet(f"{folder}/documents.parquet"), k=3, percent=90)
+        assert sorted(tuple(r) for r in got.select("doc_id", "n_shingles", "component_id").collect()) == want
+
+
+def test_shuffle_files_go_once_rows_are_stored(spark):
+    before = spark.conf.get(shared._FREE)
+    kept = shared.cut(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    assert kept.count() == 7 and kept.agg(F.sum("count")).first()[0] == 1000
+    assert spark.conf.get(shared._FREE) == before
+
+
 def test_spans(spark, docs):
     out = spans.without_repeats(docs, counts=True)
     rows = out.collect()
