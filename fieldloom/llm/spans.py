@@ -9,44 +9,77 @@ from pyspark.sql import DataFrame, functions as F
 from . import textkit as tk
 from .shared import cut, prepare
 
-#: A run is at least so many sentences and words. Passages of over 50 words hold several such runs.
+#: A run is at least so many sentences and words.
 SENTENCES, WORDS = 3, 20
 #: Long sentences are cut after words whose hash is 0 in these bits (one in 8), wherever the sentence began.
 CUT_MASK = np.uint64(7)
-
+#: Of so many words in a row at least one ends a sentence: where none does by itself, the one with the least hash, the first of equals.
+#: In a passage that stands in two places, words at least SPAN - 1 from both its ends end a sentence in both or in neither. One of its
+#: first 2 * SPAN - 1 words does so in both, and the shortest run from there has at most max(3 * SPAN, WORDS - 1 + SPAN) = 27 words, so
+#: 15 + 27 + 7 = 49 words hold a common run, whatever the words and wherever the passage starts.
+SPAN = 8
+
+#: A run has less sentences and words than this. Line breaks cut it further, into at most SPAN times as many.
+MOST = 1 << 10
 #: Where a run stands: its first sentence times LENGTHS, plus how many sentences it has.
-LENGTHS = 1 << 10
+LENGTHS = MOST * SPAN * 2
 
 _RUNS = pa.schema([("run", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64())])
 
 
+def _least(hashes: np.ndarray, stop: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """``stop`` and, in each SPAN words of a row that hold no stop, the word with the least hash."""
+    if len(hashes) < SPAN:
+        return stop
+    sums = np.concatenate([[0], np.cumsum(stop)])
+    bare = np.flatnonzero((sums[SPAN:] == sums[:-SPAN]) & (row[: 1 - SPAN] == row[SPAN - 1 :]))
+    out = stop.copy()
+    out[bare + np.lib.stride_tricks.sliding_window_view(hashes, SPAN)[bare].argmin(1)] = True
+    return out
+
+
 class Sentences:
-    """Sentences of some rows: ``edges`` (first word of each, and the number of words last) and ``first`` (first sentence of each row, and the total last)."""
+    """Sentences of some rows: ``edges`` (first word of each, and the number of words last) and ``first`` (first sentence of each row, and the total last).
+
+    ``kinds`` has two choices of the edges: by words alone, which are the same however a passage
+    is broken into lines, and with line breaks, which lets a run begin and end with a line.
+    """
 
     def __init__(self, words: tk.Words, hashes: np.ndarray):
         n = len(words)
         last = words.data[words.ends - 1] if n else np.zeros(0, np.uint8)
         stop = (last == ord(".")) | (last == ord("!")) | (last == ord("?")) | (hashes & CUT_MASK == 0)
         breaks = np.concatenate([[0], np.cumsum(words.data == 10)])
-        opens = np.zeros(n, bool)
-        opens[1:] = stop[:-1] | (breaks[words.starts[1:]] > breaks[words.ends[:-1]])
-        opens[words.first[:-1][words.first[:-1] < n]] = True
-        self.edges = np.append(np.flatnonzero(opens), n)
-        self.first = np.searchsorted(self.edges[:-1], words.first)
+        line = np.zeros(n, bool)
+        line[:-1] = breaks[words.starts[1:]] > breaks[words.ends[:-1]]
+        heads = words.first[:-1][words.first[:-1] < n]
+        opens = []
+        for ends in (_least(hashes, stop, words.rows), _least(hashes, stop | line, words.rows)):
+            begin = np.zeros(n, bool)
+            begin[1:] = ends[:-1]
+            begin[heads] = True
+            opens.append(begin)
+        at = np.flatnonzero(opens[0] | opens[1])
+        self.edges = np.append(at, n)
+        self.first = np.searchsorted(at, words.first)
+        self.kinds = [np.append(np.flatnonzero(begin[at]), len(at)) for begin in opens]
 
     def runs(self, sentences: int = SENTENCES, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-        """All shortest runs of enough sentences and words, from each sentence on and up to each sentence: first sentences and stops."""
-        e = self.edges
-        row_stop = np.repeat(self.first[1:], np.diff(self.first))
-        row_first = np.repeat(self.first[:-1], np.diff(self.first))
-        u = np.arange(len(e) - 1)
-        ahead = np.maximum(u + sentences, np.searchsorted(e, e[:-1] + words, "left"))
-        back = np.minimum(u + 1 - sentences, np.searchsorted(e, e[1:] - words, "right") - 1)
-        forward, backward = ahead <= row_stop, back >= row_first
-        a = np.concatenate([u[forward], back[backward]])
-        b = np.concatenate([ahead[forward], u[backward] + 1])
-        both = np.unique(a * len(e) + b)
-        return both // len(e), both % len(e)
+        """All shortest runs of enough sentences and words of one kind, from each sentence on and up to each sentence: first sentences and stops."""
+        both = []
+        for kind in self.kinds:
+            e, first = self.edges[kind], np.searchsorted(kind, self.first)
+            row_stop = np.repeat(first[1:], np.diff(first))
+            row_first = np.repeat(first[:-1], np.diff(first))
+            u = np.arange(len(e) - 1)
+            ahead = np.maximum(u + sentences, np.searchsorted(e, e[:-1] + words, "left"))
+            back = np.minimum(u + 1 - sentences, np.searchsorted(e, e[1:] - words, "right") - 1)
+            forward, backward = ahead <= row_stop, back >= row_first
+            a = np.concatenate([u[forward], back[backward]])
+            b = np.concatenate([ahead[forward], u[backward] + 1])
+            both.append(kind[a] * len(self.edges) + kind[b])
+        both = np.unique(np.concatenate(both))
+        return both // len(self.edges), both % len(self.edges)
 
 
 def _first_in_row(h: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -87,8 +120,8 @@ def repeated_runs(docs: DataFrame, sentences: int = SENTENCES, words: int = WORD
     """
     prepare(docs.sparkSession)
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    if max(sentences, words) >= LENGTHS:
-        raise ValueError(f"runs have less than {LENGTHS} sentences and words")
+    if max(sentences, words) >= MOST:
+        raise ValueError(f"runs have less than {MOST} sentences and words")
     rows = _runs(known, sentences, words)
     origins = cut(rows.groupBy("run").agg(F.min("doc_id").alias("origin"), F.count("*").alias("times")).where("times > 1").select("run", "origin"))
     later = rows.join(origins, "run").where("doc_id <> origin").select("doc_id", "at").distinct()
@@ -100,8 +133,9 @@ def without_repeats(docs: DataFrame, sentences: int = SENTENCES, words: int = WO
     """``docs`` without the sentences that a repeated_runs() row covers; n_chars, where there is such a column, follows the text.
 
     A sentence ends after a word that ends in . ! or ?, at a line break, and inside long
-    sentences at words chosen by their content. Runs are compared word by word, A-Z in lower
-    case. The first occurrence stays, in the smallest doc_id and there at the smallest place.
+    sentences at words chosen by their content, SPAN words apart at most. So every passage of
+    49 words that stands in two places loses at least a run; up to 2 * SPAN - 1 words at each of
+    its ends may stay. Runs are compared word by word, A-Z in lower case. The first occurrence stays, in the smallest doc_id and there at the smallest place.
     Null texts stay null and documents without a repeated run stay as they are. Rows with a null
     doc_id lose only what they repeat themselves; rows that share a doc_id count as one
     document. ``counts`` adds n_sentences and n_removed.

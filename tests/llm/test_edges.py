@@ -376,6 +376,32 @@ def test_spans_leave_clean_documents_and_find_passages(spark):
             assert len(set(passage.split()) & set(got[i].split())) <= 8
 
 
+def test_spans_find_every_passage_that_brute_force_finds(spark):
+    """Passages of 51 words without punctuation, mid-sentence, of few words, and broken into other lines."""
+    rng = np.random.default_rng(11)
+    fresh = lambda n, dot=0.0: [("".join(rng.choice(list("abcdefgh"), 7)) + ("." if rng.uniform() < dot else "")) for _ in range(n)]
+    lines = lambda words: "".join(w + ("\n" if rng.uniform() < 0.2 else " ") for w in words)
+    rows = []
+    for i in range(1600):
+        few = fresh(21)
+        passage = [fresh(51), fresh(51, 0.1), rng.choice(few, 51).tolist(), fresh(51)][i % 4]
+        for _ in range(2):
+            words = fresh(int(rng.integers(5, 30)), 0.1) + fresh(3) + passage + fresh(3) + fresh(int(rng.integers(5, 30)), 0.1)
+            rows.append((len(rows), lines(words) if i % 4 == 3 else " ".join(words)))
+    seen, want = set(), set()
+    for i, text in rows:
+        words = text.split()
+        grams = {" ".join(words[a : a + 51]) for a in range(len(words) - 50)}
+        want |= {i} if grams & seen else set()
+        seen |= grams
+    got = {r.doc_id: r.text for r in spans.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    shorter = {i for i, text in rows if got[i] != text}
+    assert len(want) == 1600 and not want - shorter and all(i % 2 for i in shorter)
+    for i in want:  # what stays of a passage is at its ends, and what stood around it stays
+        kept, words = got[i].split(), rows[i][1].split()
+        assert len(words) - 51 <= len(kept) <= len(words) - 51 + 30
+
+
 def test_pipeline_stages(spark, docs, labels, tmp_path):
     labels.write.parquet(str(tmp_path / "labels.parquet"))
     rows = docs
