@@ -64,7 +64,7 @@ class Tree:
         return out
 
     def visits(self, query: np.ndarray, least: int, counts: np.ndarray, rows: int) -> list[int]:
-        """Leaves in the order of a priority queue over centres, by inner product: at least ``least``, and as many as hold ``rows`` vectors."""
+        """Leaves in the order of a priority queue over centres, by inner product: at least ``least``, and as many as have ``counts`` of ``rows`` together."""
         score = self.centres @ query
         queue, out, held = [(-score[0], 0)], [], 0
         while queue and (len(out) < least or held < rows):
@@ -91,23 +91,33 @@ def _matrix(column, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def top(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int):
-    """(query id, row id, score) of each query's k best rows but its own, ties to the smaller id.
+def best(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int):
+    """(query id, row, score) of each query's k best ids but its own, each by its best row, ties to the smaller id.
 
-    A product of matrices finds who may be in; those are scored again one pair at a time, so
-    that equal vectors have equal scores wherever they stand.
+    A product of matrices finds who may be in: rows not below the k-th best id. Those are scored
+    again one pair at a time, so that equal vectors have equal scores wherever they stand.
     """
+    order = np.argsort(row_ids, kind="stable")
+    rows, row_ids = rows[order], row_ids[order]
+    begins = np.flatnonzero(np.diff(row_ids, prepend=row_ids[:1] - 1)) if len(row_ids) else np.zeros(0, np.int64)
     rough = queries @ rows.T
     slack = 1e-9 * (1 + np.abs(rough).max(initial=0))
     for i, q in enumerate(query_ids):
         line = np.where(row_ids == q, -np.inf, rough[i])
-        floor = np.partition(line, len(line) - k)[len(line) - k] - slack if len(line) > k else -np.inf
+        each = np.maximum.reduceat(line, begins) if len(begins) < len(line) else line
+        floor = np.partition(each, len(each) - k)[len(each) - k] - slack if len(each) > k else -np.inf
         near = np.flatnonzero((line >= floor) & np.isfinite(line))
         score = (rows[near] * queries[i]).sum(1)
-        order = np.lexsort((row_ids[near], -score))
-        _, once = np.unique(row_ids[near][order], return_index=True)
-        order = order[np.sort(once)][:k]
-        yield q, row_ids[near][order], score[order]
+        ranked = np.lexsort((row_ids[near], -score))
+        _, once = np.unique(row_ids[near][ranked], return_index=True)
+        ranked = ranked[np.sort(once)][:k]
+        yield q, order[near[ranked]], score[ranked]
+
+
+def top(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int):
+    """(query id, row id, score): best() with the rows' ids."""
+    for q, at, score in best(queries, query_ids, rows, row_ids, k):
+        yield q, row_ids[at], score
 
 
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64()), ("leaf", pa.int32())])
@@ -163,6 +173,9 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = RE
 
     placed = base.mapInArrow(put, "vec_id long, v array<double>, leaf int")
     counts = np.zeros(len(tree.leaf), np.int64)
+    held = np.zeros(len(tree.leaf), np.int64)  # an id counts in one of its leaves, so leaves hold at least so many ids together
+    for r in placed.groupBy("vec_id").agg(F.min("leaf").alias("leaf")).groupBy("leaf").count().collect():
+        held[r["leaf"]] = r["count"]
     for r in placed.groupBy("leaf").count().collect():  # one number for each leaf
         counts[r["leaf"]] = r["count"]
     least = _calibrated(placed, tree, counts, dim, every, k, recall)
@@ -174,7 +187,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = RE
         for batch in batches:
             ids, m = batch.column(0).to_pylist(), _matrix(batch.column(1), dim)
             for a in range(0, len(ids), 64):  # a query goes to every block of its leaves
-                rows = [(i, leaf, b) for i in range(a, min(a + 64, len(ids))) for leaf in shared_tree.value.visits(m[i], least, counts, k + 1) for b in range(int(blocks[leaf]))]
+                rows = [(i, leaf, b) for i in range(a, min(a + 64, len(ids))) for leaf in shared_tree.value.visits(m[i], least, held, k + 1) for b in range(int(blocks[leaf]))]
                 at = pa.array([i for i, *_ in rows], pa.int32())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([x for _, x, _ in rows], pa.int32()), pa.array([x for *_, x in rows], pa.int32())], names=["query_id", "q", "leaf", "block"])
 
@@ -215,12 +228,13 @@ def _calibrated(placed: DataFrame, tree: Tree, counts: np.ndarray, dim: int, eve
         for batch in batches:
             x, rid, leaf = _matrix(batch.column(1), dim), batch.column(0).to_numpy(), batch.column(2).to_numpy()
             for a in range(0, len(rid), ROW_BLOCK):
-                at = dict(zip(rid[a : a + ROW_BLOCK].tolist(), leaf[a : a + ROW_BLOCK].tolist(), strict=True))
-                part = list(top(m, ids, x[a : a + ROW_BLOCK], rid[a : a + ROW_BLOCK], k))
-                done = _found(part)
-                yield done.set_column(3, "leaf", pa.array([at[i] for i in done.column(1).to_pylist()], pa.int32()))
+                part = list(best(m, ids, x[a : a + ROW_BLOCK], rid[a : a + ROW_BLOCK], k))
+                done = _found([(q, rid[a + at], score) for q, at, score in part])
+                yield done.set_column(3, "leaf", pa.array(np.concatenate([leaf[a + at] for _, at, _ in part]), pa.int32()))
 
-    true = _ranked(placed.mapInArrow(brute, "query_id long, vec_id long, score double, leaf int"), k).select("query_id", "leaf").collect()
+    found = placed.mapInArrow(brute, "query_id long, vec_id long, score double, leaf int")
+    found = found.groupBy("query_id", "vec_id").agg(F.max(F.struct("score", "leaf")).alias("b")).select("query_id", "vec_id", "b.score", "b.leaf")
+    true = _ranked(found, k).select("query_id", "leaf").collect()
     order = {int(q): {leaf: n for n, leaf in enumerate(tree.visits(x, len(counts), counts, 0), 1)} for q, x in zip(ids, m, strict=True)}
     ranks = np.sort([order[r["query_id"]][r["leaf"]] for r in true])
     return int(ranks[max(0, math.ceil(recall * len(ranks)) - 1)]) if len(ranks) else 1

@@ -131,6 +131,24 @@ def test_nearest(spark):
     assert [(r.query_id, r["rank"], len(few)) for r in few] == [(0, 1, 2), (0, 2, 2)]
 
 
+@pytest.mark.parametrize("times", [2, 5])
+def test_nearest_counts_ids_not_rows(spark, times):
+    """Every row repeated, and one id that holds a third of all rows with vectors of its own."""
+    rng = np.random.default_rng(2)
+    rows = [(i, v) for i, v in enumerate(rng.normal(size=(300, 6)).tolist()) for _ in range(times)]
+    rows += [(7, v) for v in (3 * rng.normal(size=(150 * times, 6))).tolist()]
+    got = {}
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), recall=1.0).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    ids, m = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    assert sorted(got) == list(range(0, 300, 20))
+    for q, found in got.items():
+        score = m @ rows[times * q][1]
+        want = sorted(((score[ids == i].max(), i) for i in range(300) if i != q), key=lambda x: (-x[0], x[1]))[:20]
+        assert [(n, i) for n, i, _ in sorted(found)] == [(n, i) for n, (_, i) in enumerate(want, 1)]
+        assert [s for *_, s in sorted(found)] == pytest.approx([s for s, _ in want])
+
+
 def test_nearest_recall(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     x = df.orderBy("vec_id").toPandas()
