@@ -24,14 +24,14 @@ _METRIC = {
 }
 
 
-def _blockwise(points: DataFrame, metric: str, choose) -> DataFrame:
-    """Edges that ``choose(distances, same)`` keeps, in one group for each pair of blocks; no group holds more than two blocks of points."""
-    n = points.count()
+def _blockwise(points: DataFrame, metric: str, choose, within: tuple = ()) -> DataFrame:
+    """Edges that ``choose(distances, same)`` keeps, in one group for each pair of blocks; no group holds more than two blocks of points. With ``within``, only between points that are equal in these columns."""
+    n = points.groupBy(*within).count().agg(F.max("count")).first()[0] or 0 if within else points.count()
     blocks = max(1, -(-n // BLOCK))
     block = F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = points.select("v", "pos", block.alias("a")).select("v", "pos", "a", every.alias("b"))
-    right = points.select(F.col("v").alias("u"), F.col("pos").alias("at"), block.alias("b")).select("u", "at", "b", every.alias("a"))
+    left = points.select(*within, "v", "pos", block.alias("a")).select(*within, "v", "pos", "a", every.alias("b"))
+    right = points.select(*within, F.col("v").alias("u"), F.col("pos").alias("at"), block.alias("b")).select(*within, "u", "at", "b", every.alias("a"))
     schema = pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("w", pa.float64())])
     distance = _METRIC[metric]
 
@@ -46,12 +46,12 @@ def _blockwise(points: DataFrame, metric: str, choose) -> DataFrame:
             parts.append((xv[at + i], yv[j], d[i, j]))
         return pa.Table.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], schema=schema)
 
-    return left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(pairs, "src long, dst long, w double")
+    return left.groupBy(*within, "a", "b").cogroup(right.groupBy(*within, "a", "b")).applyInArrow(pairs, "src long, dst long, w double")
 
 
-def pairwise(points: DataFrame, metric: str = "euclidean") -> DataFrame:
-    """All distances (i, j, x), i <> j, rounded to 9 digits."""
-    found = _blockwise(points, metric, lambda d, same, ids: np.nonzero(~same))
+def pairwise(points: DataFrame, metric: str = "euclidean", within: tuple = ()) -> DataFrame:
+    """All distances (i, j, x), i <> j, rounded to 9 digits; with ``within``, of points that are equal in these columns."""
+    found = _blockwise(points, metric, lambda d, same, ids: np.nonzero(~same), within)
     return found.select(F.col("src").alias("i"), F.col("dst").alias("j"), F.col("w").alias("x"))
 
 

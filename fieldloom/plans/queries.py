@@ -787,18 +787,13 @@ def greedy_match(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _label_pairs(spark, d):
-    """Pairs of clouds of one label each: their points' distances."""
+    """Pairs of clouds of one label each, 2n with 2n + 1 for every n: their points' distances. Clouds of one point have none; they, clouds without the other one and rows without a label are in no pair."""
     p = cut(t.vectors(spark, d))
-    out = None
-    every = cut(graphs.pairwise(p.select("v", "pos")))
-    lab = p.select("v", "label")
-    for n in range(2):
-        for side in (0, 1):
-            v = lab.where(F.col("label") == 2 * n + side).select("v", "label")
-            part = every.join(v.select(F.col("v").alias("i"), "label"), "i").join(v.select(F.col("v").alias("j")), "j", "left_semi")
-            part = part.select(F.lit(n).cast("long").alias("pair"), F.lit(side).alias("side"), "i", "j", "x", F.pmod(F.col("i"), F.lit(3)).cast("long").alias("label"))
-            out = part if out is None else out.unionByName(part)
-    return out
+    pair = F.floor(F.col("label") / 2).cast("long")
+    whole = p.groupBy("label").count().where("label is not null AND count > 1").groupBy(pair.alias("pair")).count().where("count = 2").select("pair")
+    p = cut(p.withColumn("pair", pair).join(F.broadcast(whole), "pair", "left_semi"))  # one row for each pair is sent
+    ends = p.select(F.col("v").alias("i"), "pair", F.pmod("label", F.lit(2)).alias("side"))
+    return graphs.pairwise(p, within=("label",)).join(ends, "i").select("pair", "side", "i", "j", "x", F.pmod(F.col("i"), F.lit(3)).cast("long").alias("label"))
 
 
 @query()

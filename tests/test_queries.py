@@ -40,3 +40,22 @@ def test_every_sql_has_a_query_and_entry_runs(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(plans.SQL) <= set(plans.QUERIES)
     assert entry.entry(spark).limit(1).count() == 1
+
+
+def test_label_pairs_cover_all_labels(spark, tmp_path):
+    labels = [0, 0, 1, 1, 2, 2, 3, 3, 3, 8, 8, 9, 9, 6, 6, 4, 5, 5, None]  # 6 is without 7, 4 is one point
+    spark.createDataFrame([(i, [float(i), 1.0], y) for i, y in enumerate(labels)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {(r.pair, r.side, r.i, r.j) for r in plans._label_pairs(spark, str(tmp_path)).collect()}
+    assert got == {(a // 2, a % 2, i, j) for i, a in enumerate(labels) for j, b in enumerate(labels) if a == b and i != j and a in (0, 1, 2, 3, 8, 9)}
+
+
+@pytest.mark.parametrize("name", ["fgw_cg", "recursive_match"])
+def test_every_labelled_row_takes_part(spark, duck, name):
+    got = entry.queries()[name](spark, DIR).collect()
+    found = {(r.pair, v) for r in got for v in (r.i, r.j)}
+    sizes = dict(duck.sql("select label, count(*) from embeddings group by 1").fetchall())
+    rows = duck.sql("select label // 2, vec_id from embeddings").fetchall()
+    if name == "fgw_cg":  # even masses leave no row without a partner
+        assert found == set(rows)
+    else:  # one to one
+        assert found <= set(rows) and {p for p, _ in found} == {label // 2 for label in sizes}
