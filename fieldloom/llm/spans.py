@@ -11,30 +11,44 @@ from .shared import cut, prepare
 
 #: A run is at least so many sentences and words.
 SENTENCES, WORDS = 3, 20
-#: Long sentences are cut after words whose hash is 0 in these bits (one in 8), wherever the sentence began.
-CUT_MASK = np.uint64(7)
-#: Of so many words in a row at least one ends a sentence: where none does by itself, the one with the least hash, the first of equals.
-#: In a passage that stands in two places, words at least SPAN - 1 from both its ends end a sentence in both or in neither. One of its
-#: first 2 * SPAN - 1 words does so in both, and the shortest run from there has at most max(3 * SPAN, WORDS - 1 + SPAN) = 27 words, so
-#: 15 + 27 + 7 = 49 words hold a common run, whatever the words and wherever the passage starts.
+#: Sentences of up to so many words are never cut.
+ORDINARY = 16
+#: Longer ones are cut: of each SPAN words in a row inside them at least one ends a piece, the one with the least hash, the first of
+#: equals. So pieces of a passage that stands in two places are the same but near its ends, wherever it begins: a stretch of
+#: ORDINARY words without a mark is long in both places, and words at least SPAN - 1 from its ends are cut in both or in neither.
+#: A passage without marks holds a common run from 49 words on: a cut in the first 2 * SPAN - 1, at most max(3 * SPAN, WORDS - 1 + SPAN)
+#: words of run, and SPAN - 1 more. With marks the bound is max(3 * ORDINARY, WORDS - 1 + ORDINARY) + 2 * ORDINARY - 1 words, for
+#: three sentences of just ORDINARY words between two halves; a passage of 50 words with shorter sentences holds a run.
 SPAN = 8
 
-#: A run has less sentences and words than this. Line breaks cut it further, into at most SPAN times as many.
+#: A run has less sentences and words than this. Line breaks cut it further, into at most ORDINARY times as many.
 MOST = 1 << 10
 #: Where a run stands: its first sentence times LENGTHS, plus how many sentences it has.
-LENGTHS = MOST * SPAN * 2
+LENGTHS = MOST * ORDINARY * 2
 
 _RUNS = pa.schema([("run", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64())])
 
 
-def _least(hashes: np.ndarray, stop: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """``stop`` and, in each SPAN words of a row that hold no stop, the word with the least hash."""
-    if len(hashes) < SPAN:
-        return stop
+def _bare(stop: np.ndarray, row: np.ndarray, size: int) -> np.ndarray:
+    """First words of each ``size`` words of a row that hold no stop."""
+    if len(stop) < size:
+        return np.zeros(0, np.int64)
     sums = np.concatenate([[0], np.cumsum(stop)])
-    bare = np.flatnonzero((sums[SPAN:] == sums[:-SPAN]) & (row[: 1 - SPAN] == row[SPAN - 1 :]))
+    return np.flatnonzero((sums[size:] == sums[:-size]) & (row[: len(row) - size + 1] == row[size - 1 :]))
+
+
+def _cuts(hashes: np.ndarray, stop: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """``stop`` and, in each SPAN words of a stretch of ORDINARY or more words without a stop, the word with the least hash."""
+    long = _bare(stop, row, ORDINARY)
+    if not len(long):
+        return stop
+    inside = np.zeros(len(stop) + 1, np.int64)
+    np.add.at(inside, long, 1)
+    np.add.at(inside, long + ORDINARY, -1)
+    at = _bare(stop, row, SPAN)
+    at = at[np.cumsum(inside)[at] > 0]
     out = stop.copy()
-    out[bare + np.lib.stride_tricks.sliding_window_view(hashes, SPAN)[bare].argmin(1)] = True
+    out[at + np.lib.stride_tricks.sliding_window_view(hashes, SPAN)[at].argmin(1)] = True
     return out
 
 
@@ -48,13 +62,13 @@ class Sentences:
     def __init__(self, words: tk.Words, hashes: np.ndarray):
         n = len(words)
         last = words.data[words.ends - 1] if n else np.zeros(0, np.uint8)
-        stop = (last == ord(".")) | (last == ord("!")) | (last == ord("?")) | (hashes & CUT_MASK == 0)
+        stop = (last == ord(".")) | (last == ord("!")) | (last == ord("?"))
         breaks = np.concatenate([[0], np.cumsum(words.data == 10)])
         line = np.zeros(n, bool)
         line[:-1] = breaks[words.starts[1:]] > breaks[words.ends[:-1]]
         heads = words.first[:-1][words.first[:-1] < n]
         opens = []
-        for ends in (_least(hashes, stop, words.rows), _least(hashes, stop | line, words.rows)):
+        for ends in (_cuts(hashes, stop, words.rows), _cuts(hashes, stop | line, words.rows)):
             begin = np.zeros(n, bool)
             begin[1:] = ends[:-1]
             begin[heads] = True
@@ -132,14 +146,18 @@ def repeated_runs(docs: DataFrame, sentences: int = SENTENCES, words: int = WORD
 def without_repeats(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS, counts: bool = False) -> DataFrame:
     """``docs`` without the sentences that a repeated_runs() row covers; n_chars, where there is such a column, follows the text.
 
-    A sentence ends after a word that ends in . ! or ?, at a line break, and inside long
-    sentences at words chosen by their content, SPAN words apart at most. So every passage of
-    49 words that stands in two places loses at least a run; up to 2 * SPAN - 1 words at each of
-    its ends may stay. Runs are compared word by word, A-Z in lower case. The first occurrence stays, in the smallest doc_id and there at the smallest place.
+    A sentence ends after a word that ends in . ! or ?, or at a line break; a sentence of more
+    than ORDINARY words is taken as pieces, cut at words chosen by their content. Every passage
+    of 49 words without marks that stands in two places loses at least a run, and so does every
+    passage of sentences that holds SENTENCES whole ones with WORDS words together; what stays
+    of it are its first and last incomplete pieces. Runs are compared word by word, A-Z in lower case. The first occurrence stays, in the smallest doc_id and there at the smallest place.
     Null texts stay null and documents without a repeated run stay as they are. Rows with a null
     doc_id lose only what they repeat themselves; rows that share a doc_id count as one
-    document. ``counts`` adds n_sentences and n_removed.
+    document. An empty table gives an empty table. ``counts`` adds n_sentences and n_removed, in
+    place of columns of the input with these names.
     """
+    if counts:
+        docs = docs.drop("n_sentences", "n_removed")
     names = docs.columns
     mark = "_covered"
     while mark in names:
@@ -148,7 +166,7 @@ def without_repeats(docs: DataFrame, sentences: int = SENTENCES, words: int = WO
     key = "_key"
     while key in names:
         key += "_"
-    df = docs.withColumn(key, F.col("doc_id").cast("long")).join(covered.withColumnRenamed("doc_id", key), key, "left").drop(key).select(*names, F.col(f"{mark}.first").alias(mark), F.col(f"{mark}.stop").alias(mark + "to"))
+    df = docs.withColumn(key, F.col("doc_id").cast("long")).join(covered.withColumnRenamed("doc_id", key), key, "left").drop(key).select(*names, F.col(f"{mark}.first").alias(mark), F.col(f"{mark}.stop").alias(f"{mark}_to"))
 
     def run(batches):
         for batch in batches:
