@@ -10,7 +10,8 @@ from . import textkit as tk
 from .components import ceil_div, components
 from .shared import cut, prepare, sketch
 
-#: Counts of n-grams by the low bits of their hash: the global rare-first order. Its size is the bound of what is broadcast.
+#: Counts of n-grams by the low bits of their hash: the global rare-first order. Its size is the bound of what is broadcast. A slot counts
+#: up to 2**32 - 1 in all; logarithms of the counts make the order, so a frequent n-gram stands out of its slot's others at any size.
 ORDER_BITS = 22
 #: Hash ranges whose counts make the suffix filter's lower bound of two sets' difference.
 RANGES = 32
@@ -46,7 +47,8 @@ def _sets(batch: pa.RecordBatch, k: int):
 
 def _prefixes(docs: DataFrame, k: int, percent: int, order: np.ndarray) -> DataFrame:
     """Per document: set size n, the set's signature (s1, s2), counts by hash range, and its rarest n-grams first."""
-    spread = docs.sparkSession.sparkContext.broadcast(np.minimum(order, 65535).astype(np.uint16))
+    # 1024 steps to each doubling: counts up to 2**63 stay in order, and apart where they differ by a thousandth
+    spread = docs.sparkSession.sparkContext.broadcast((1024 * np.log2(order.astype(np.float32) + 1)).astype(np.uint16))
     mask = np.uint64(len(order) - 1)
 
     def run(batches):
@@ -125,7 +127,7 @@ def _verified(pairs: DataFrame, sizes: DataFrame, docs: DataFrame, k: int, perce
         pairs = pairs.join(sizes.select(F.col("doc").alias(x), F.col("n").alias(f"n{x}"), F.col("ranges").alias(f"r{x}")), x)
     apart = F.aggregate(F.zip_with("ra", "rb", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, x: s + x)
     near = cut(pairs.where(apart <= F.col("na") + F.col("nb") - 2 * _need(F.col("na"), F.col("nb"), percent)).select("a", "b"))
-    wanted = near.select(F.col("a").alias("doc")).unionByName(near.select(F.col("b").alias("doc"))).distinct()
+    wanted = cut(near.select(F.col("a").alias("doc")).unionByName(near.select(F.col("b").alias("doc"))).distinct())
     sets = _sets_of(docs, wanted, k)
     both = near.join(sets.withColumnsRenamed({"doc": "a", "grams": "ga"}), "a").join(sets.withColumnsRenamed({"doc": "b", "grams": "gb"}), "b")
     both = both.withColumn("shared", F.size(F.array_intersect("ga", "gb")))
@@ -137,8 +139,9 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFra
 
     Texts with fewer than k words are one n-gram; null and empty texts have none, link with
     nothing and are their own component. Rows with a null doc_id keep a null component.
-    Repeated rows of one doc_id each get that document's row. Only doc_id and text are read;
-    other columns do no harm.
+    Repeated rows of one doc_id each get that document's row; different texts of one doc_id are
+    one node, and links of either are links of both. Texts of any length are taken whole. Only
+    doc_id and text are read; other columns do no harm. An empty table gives no rows.
 
     How: one pass counts every n-gram in a table of fixed size, which gives one global
     rare-first order. The next pass writes each document's prefix (the rarest n-grams that any
@@ -193,6 +196,14 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFra
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents without all but the smallest doc_id of each component; columns as they were. Of rows with one doc_id one stays; rows with a null doc_id stay."""
+    """The documents without all but the smallest doc_id of each component; columns as they were.
+
+    Different texts of one doc_id stay together or go together; of rows with equal doc_id and
+    text one stays, chosen by a hash of all columns. Rows with a null doc_id stay, and so do
+    null and empty texts. An empty table gives no rows.
+    """
     kept = similar_documents(docs, k, percent).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi").select(docs.columns).unionByName(docs.where("doc_id is null"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    here = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row.alias("row")).join(kept, "doc_id", "left_semi")
+    once = here.groupBy("doc_id", "text").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
+    return once.unionByName(docs.where("doc_id is null"))
