@@ -4,7 +4,8 @@ Files of a model, in a folder that driver and executors share, one set for each
 ``words-S`` sorted word hashes, ``count-S`` how often each occurs, ``ahead-S`` how many
 different words precede it; ``pairs-S`` sorted word pairs (first id << 32 | second id),
 ``times-S`` how often each occurs; ``context-S`` per first word: occurrences, and pairs that
-occur once, twice, more often. A word's id is its rank in the order of hashes.
+occur once, twice, more often. A word's id is its rank in the order of hashes. Counts take 32
+bits, or 64 in files where one is larger; more than 2**32 - 2 different words are an error.
 """
 
 from __future__ import annotations
@@ -68,7 +69,7 @@ class _Counter:
         self.held, self.n = [], 0
         shard = self.shard_of(keys)
         rows = [(int(s), keys[at], counts[at]) for s in np.unique(shard) for at in (np.flatnonzero(shard == s),)]
-        return pa.RecordBatch.from_arrays([pa.array([s for s, *_ in rows], pa.int32()), pa.array([delta(k) for _, k, _ in rows], pa.binary()), pa.array([pack(c.astype("<u4")) for *_, c in rows], pa.binary())], schema=_BLOCK_SCHEMA)
+        return pa.RecordBatch.from_arrays([pa.array([s for s, *_ in rows], pa.int32()), pa.array([delta(k) for _, k, _ in rows], pa.binary()), pa.array([pack(c.astype("<u8")) for *_, c in rows], pa.binary())], schema=_BLOCK_SCHEMA)
 
 
 def _shards(batches):
@@ -81,7 +82,7 @@ def _shards(batches):
                     yield shard, *_merged(keys, counts)
                 shard, keys, counts, n = s, [], [], 0
             keys.append(undelta(k))
-            counts.append(unpack(c, "<u4").astype(np.int64))
+            counts.append(unpack(c, "<u8").astype(np.int64))
             n += len(keys[-1])
             if n > 4 * len(keys[0]) and n > FLUSH:
                 k, c = _merged(keys, counts)
@@ -143,7 +144,7 @@ class Model:
         shard = np.searchsorted(self.first, ids, "right") - 1
         for s in np.unique(shard[(ids >= 0) & (ids < self.size)]):
             rows = np.flatnonzero((shard == s) & (ids >= 0) & (ids < self.size))
-            out[rows] = _mapped(self.store.folder, f"{name}-{s}", "<u4")[ids[rows] - self.first[s]]
+            out[rows] = _counts(self.store.folder, f"{name}-{s}", int(self.first[s + 1] - self.first[s]))[ids[rows] - self.first[s]]
         return out
 
 
@@ -152,6 +153,17 @@ def _mapped(folder: str, name: str, dtype: str) -> np.ndarray:
     return Store(folder).map(name, dtype)
 
 
+def _narrow(counts: np.ndarray) -> np.ndarray:
+    """Counts in 32 bits where all of them fit, else in 64."""
+    return counts.astype("<u4" if counts.max(initial=0) <= 0xFFFFFFFF else "<u8")
+
+
+def _counts(folder: str, name: str, n: int) -> np.ndarray:
+    """The ``n`` counts that _narrow() gave; the file's size tells their width."""
+    raw = _mapped(folder, name, "u1")
+    return raw.view(f"<u{len(raw) // n}") if n else np.zeros(0, "<u4")
+
+
 def _kinds(counts: np.ndarray) -> np.ndarray:
     return np.bincount(np.minimum(counts, 5), minlength=6)[1:5]
 
@@ -196,7 +208,7 @@ def fit(docs: DataFrame) -> Model:
     def words(batches):
         for s, keys, counts in _shards(batches):
             store.write(f"words-{s}", keys.astype("<u8"))
-            store.write(f"count-{s}", np.minimum(counts, 0xFFFFFFFF).astype("<u4"))
+            store.write(f"count-{s}", _narrow(counts))
             top = np.argsort(-counts, kind="stable")[:16]
             yield pa.RecordBatch.from_pydict({"shard": [s], "n": [len(keys)], "total": [int(counts.sum())], "top": [top.tolist()], "times": [counts[top].tolist()]})
 
@@ -208,6 +220,8 @@ def fit(docs: DataFrame) -> Model:
         for name, kind in (("words", "<u8"), ("count", "<u4")):
             store.write(f"{name}-{s}", np.zeros(0, kind))
     first = np.concatenate([[0], np.cumsum(sizes)])
+    if first[-1] >= 0xFFFFFFFF:
+        raise OverflowError(f"{first[-1]} different words: pairs of ids take 32 bits each")
     model = Model(store, bits, first, sum(r.total for r in told))
     # contexts with more than half a shard's tokens, and the start mark
     hot = {int(first[r.shard] + i): None for r in told for i, c in zip(r.top, r.times, strict=True) if c > model.total / (2 * model.shards)}
@@ -228,20 +242,20 @@ def fit(docs: DataFrame) -> Model:
         m = spread.value
         for s, keys, times in _shards(batches):
             store.write(f"pairs-{s}", keys.astype("<u8"))
-            store.write(f"times-{s}", np.minimum(times, 0xFFFFFFFF).astype("<u4"))
+            store.write(f"times-{s}", _narrow(times))
             u = (keys >> np.uint64(32)).astype(np.int64)
             a, b = int(m.first[s]), int(m.first[s + 1])
             hot = np.isin(u, np.fromiter(m.hot, np.int64, len(m.hot)))
             at = u[~hot] - a
             context = np.stack([np.bincount(at, times[~hot], b - a)] + [np.bincount(at[x], minlength=b - a) for x in (times[~hot] == 1, times[~hot] == 2, times[~hot] > 2)])
-            store.write(f"context-{s}", np.ascontiguousarray(np.minimum(context, 0xFFFFFFFF).astype("<u4").T))
+            store.write(f"context-{s}", _narrow(np.ascontiguousarray(context.T)))
             spread_out = [[int(x), int(times[u == x].sum()), *(int(((times == c) if c < 3 else (times > 2))[u == x].sum()) for c in (1, 2, 3))] for x in np.unique(u[hot])]
             yield _told(s, None, None, _kinds(times).tolist(), spread_out)
             second, many = np.unique(keys & np.uint64(0xFFFFFFFF), return_counts=True)
             target = np.searchsorted(m.first, second.astype(np.int64), "right") - 1
             for t in np.unique(target):
                 rows = target == t
-                yield _told(int(t), delta(second[rows]), pack(many[rows].astype("<u4")), None, None)
+                yield _told(int(t), delta(second[rows]), pack(many[rows].astype("<u8")), None, None)
 
     merged = cut(_counted(train, pairs_of, lambda k: spread.value.shard_of_pair(k), model.shards).mapInArrow(pairs, f"{_BLOCK}, kinds array<long>, hot array<array<long>>"))
     kinds, sums = np.zeros(4, np.int64), {x: np.zeros(4, np.int64) for x in model.hot}
@@ -261,7 +275,7 @@ def fit(docs: DataFrame) -> Model:
         for s, keys, counts in _shards(batches):
             dense = np.zeros(int(m.first[s + 1] - m.first[s]), np.int64)
             dense[keys.astype(np.int64) - m.first[s]] = counts
-            store.write(f"ahead-{s}", np.minimum(dense, 0xFFFFFFFF).astype("<u4"))
+            store.write(f"ahead-{s}", _narrow(dense))
             yield pa.RecordBatch.from_pydict({"shard": [s], "kinds": [_kinds(dense).tolist()], "sums": [[int(dense.sum()), *(int(x.sum()) for x in (dense == 1, dense == 2, dense > 2))]]})
 
     rows = merged.where("keys is not null").select("shard", "keys", "counts").repartition(model.shards, "shard").sortWithinPartitions("shard")
@@ -306,7 +320,7 @@ class Scorer:
         plain = (before >= 0) & (before < m.size)
         for s in np.unique(shard[plain]):
             rows = np.flatnonzero(plain & (shard == s))
-            context[rows] = _mapped(m.store.folder, f"context-{s}", "<u4").reshape(-1, 4)[before[rows] - m.first[s]]
+            context[rows] = _counts(m.store.folder, f"context-{s}", 4 * int(m.first[s + 1] - m.first[s])).reshape(-1, 4)[before[rows] - m.first[s]]
         for x, sums in m.hot.items():
             context[before == x] = sums
         times = np.zeros(len(ids), np.int64)
@@ -316,7 +330,7 @@ class Scorer:
         at = m._look(keys, shard, "pairs", lambda s, i: i)
         for s in np.unique(shard[at >= 0]):
             hit = np.flatnonzero((shard == s) & (at >= 0))
-            times[rows[hit]] = _mapped(m.store.folder, f"times-{s}", "<u4")[at[hit]]
+            times[rows[hit]] = _counts(m.store.folder, f"times-{s}", len(_mapped(m.store.folder, f"pairs-{s}", "<u8")))[at[hit]]
         seen = np.maximum(context[:, 0], 1)
         back = np.where(context[:, 0] > 0, context[:, 1:] @ np.array(m.discount) / seen, 1.0)
         return _less(times, m.discount) / seen + back * alone
@@ -345,8 +359,9 @@ def score(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     ``score`` is the log10 probability of the whole text and its end; ``base_score`` that of the
     add-one unigram model. A null or empty text is the end alone. Rows with a null doc_id are
-    scored but not learned from. Without training texts every word is equally likely. The
-    model's files stay in the shared folder until the driver ends.
+    scored but not learned from; each row is scored by itself, repeated ones alike, and a text
+    of any length as a whole. Other columns are not read. An empty table gives no rows. Without
+    training texts every word is equally likely. The model's files stay in the shared folder until the driver ends.
     """
     spark = prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
