@@ -343,8 +343,10 @@ def thumbnail_hash(pixels: np.ndarray) -> str:
     return np.packbits(np.round(cells, 6) > np.round(np.median(cells), 6)).tobytes().hex()
 
 
-def payload_of(head: dict, blocks: np.ndarray) -> bytes:
-    """The bytes that encode() stored."""
+def payload_of(head: dict, blocks: np.ndarray) -> bytes | None:
+    """The bytes that encode() stored; None for an image that it did not make."""
+    if not (head["comment"] or b"").startswith(b"blocks="):
+        return None
     n = int(head["comment"].removeprefix(b"blocks="))
     return (blocks[:n] + 128).astype(np.uint8).tobytes()
 
@@ -361,7 +363,11 @@ def _bounded(values: list[bytes], limit: int = 4 * STEP):
 
 
 def with_media(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep``, n_bytes (of the text in UTF-8; null counts as empty) and media: a JPEG that holds the text, padded with bytes 0 to a positive multiple of 64."""
+    """``keep``, n_bytes (of the text in UTF-8; null counts as empty) and media: a JPEG that holds the text, padded with bytes 0 to a positive multiple of 64.
+
+    Each row gives an image by itself, with null and repeated ids too; texts of any length are
+    stored whole. An empty table gives no rows.
+    """
     prepare(docs.sparkSession)
     df = docs.select(*keep, F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8").alias("_bytes"))
 
@@ -376,27 +382,40 @@ def with_media(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFram
     return df.mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in keep) + ", n_bytes long, media binary")
 
 
+_FEATURES = {"width": pa.int32(), "height": pa.int32(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()}
+
+
+def _features_of(media: list[bytes]) -> list[tuple]:
+    """The features of some images. One that can not be read has its bytes' length and hash alone."""
+    try:
+        heads, blocks = coefficients(media)
+    except Exception:  # whatever a foreign or broken image makes the parser say
+        if len(media) > 1:
+            return [x for m in media for x in _features_of([m])]
+        return [(None, None, None, None, None, len(media[0]), hashlib.sha256(media[0]).hexdigest(), None)]
+    out = []
+    for head, own, m in zip(heads, blocks, media, strict=True):
+        payload, w, h = payload_of(head, own), head["width"], head["height"]
+        said = (None,) * 3 if payload is None else (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]))
+        out.append((w, h, *said, len(m), hashlib.sha256(m).hexdigest(), f"{w}x{h}:{thumbnail_hash(thumbnail(head, own))}"))
+    return out
+
+
 def media_features(df: DataFrame, keep: tuple[str, ...] = ("doc_id", "n_bytes")) -> DataFrame:
     """``keep`` and, read from the media column: width, height, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature ("WxH:hash of the thumbnail").
 
-    Null media gives nulls. Media that is no baseline greyscale JPEG of with_media() raises.
+    Null media gives nulls. A baseline greyscale image that with_media() did not make has no
+    payload; any other image, colour or broken, has media_bytes and media_sha256 alone. Rows
+    with null or repeated ids are read each by itself; an empty table gives no rows.
     """
-    names = ["width", "height", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-
-    def features(media):
-        for head, blocks, m in zip(*coefficients(media), media, strict=True):
-            payload = payload_of(head, blocks)
-            w, h = head["width"], head["height"]
-            yield w, h, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(m), hashlib.sha256(m).hexdigest(), f"{w}x{h}:{thumbnail_hash(thumbnail(head, blocks))}"
 
     def run(batches):
         for batch in batches:
             media = batch.column(len(keep)).to_pylist()
-            found = iter([x for part in _bounded([m for m in media if m is not None]) for x in features(part)])
-            rows = [(None,) * len(names) if m is None else next(found) for m in media]
-            cols = zip(*rows, strict=True) if rows else [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + [pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=[*keep, *names])
+            found = iter([x for part in _bounded([m for m in media if m is not None]) for x in _features_of(part)])
+            rows = [(None,) * len(_FEATURES) if m is None else next(found) for m in media]
+            cols = zip(*rows, strict=True) if rows else [[] for _ in _FEATURES]
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + [pa.array(list(c), k) for c, k in zip(cols, _FEATURES.values(), strict=True)], names=[*keep, *_FEATURES])
 
     types = dict(df.dtypes)
     schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + ", width int, height int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
