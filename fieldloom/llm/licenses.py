@@ -30,6 +30,11 @@ NOTICES = {
     "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
     "BSD-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "Apache-2.0-text": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+    "All-rights-reserved": "All rights reserved.",
+    "ISC-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "GPL-text": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
 }
 
@@ -47,7 +52,7 @@ class Templates:
         self.names, self.sets, self.window = [], [], []
         for name, text in texts.items():
             data, offsets = tk.utf8(pa.array([text]))
-            grams = np.unique(_shingles(tk.Words(data, offsets).hashes()))
+            grams = np.unique(_shingles(tk.Words(data, offsets).trim().hashes()))
             if len(grams):
                 self.names.append(name)
                 self.sets.append(grams)
@@ -105,8 +110,10 @@ def scan(docs: DataFrame, texts: dict[str, str] | None = None, containment: floa
     A text holds a template where one window of consecutive words has at least ``containment``
     of the template's distinct word shingles; first_word (from 0) and containment are of the
     best window, the first of equals. n_words is the text's length. Words are compared with
-    A-Z in lower case. Null and empty texts hold nothing; rows with null or repeated doc_ids
-    are scanned each by themselves. ``texts`` are the templates by name.
+    A-Z in lower case and without punctuation at either end, so a notice may end in a full stop,
+    a comma, a bracket or nothing. Null and empty texts hold nothing, and texts of any length
+    are scanned whole; rows with null or repeated doc_ids are scanned each by themselves. Other
+    columns are not read. An empty table gives no rows. ``texts`` are the templates by name.
     """
     spark = prepare(docs.sparkSession)
     templates = spark.sparkContext.broadcast(Templates(NOTICES if texts is None else texts))
@@ -118,7 +125,7 @@ def scan(docs: DataFrame, texts: dict[str, str] | None = None, containment: floa
             data, offsets = tk.utf8(batch.column(1))
             out = []
             for a, b, piece, at in tk.chunks(data, offsets):
-                words = tk.Words(piece, at)
+                words = tk.Words(piece, at).trim()
                 hashes, first = words.hashes(), words.first
                 for i in range(b - a):
                     h = hashes[first[i] : first[i + 1]]

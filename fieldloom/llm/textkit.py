@@ -25,6 +25,8 @@ SEGMENT_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_IS_PUNCT = np.zeros(256, bool)
+_IS_PUNCT[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -107,6 +109,15 @@ class Words:
     def rows(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
+    def trim(self) -> Words:
+        """Leave out ASCII punctuation at both ends of each word that has something else."""
+        solid = np.flatnonzero(~_IS_PUNCT[self.data])
+        if len(solid) and len(self):
+            a, b = np.searchsorted(solid, self.starts), np.searchsorted(solid, self.ends) - 1
+            some = a <= b
+            self.starts[some], self.ends[some] = solid[a[some]], solid[b[some]] + 1
+        return self
+
     def hashes(self, lower: bool = True) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
         out = np.empty(len(self), U64)
