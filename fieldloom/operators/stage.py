@@ -22,6 +22,8 @@ def cut(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             path = tempfile.mkdtemp(prefix="fieldloom-")
             atexit.register(shutil.rmtree, path, ignore_errors=True)
             folder = f"file://{path}"
