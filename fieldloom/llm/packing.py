@@ -130,6 +130,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SEQUENCE, en
     that null. ``tokenizer`` is the path of a vocabulary file that every worker can read (by
     default that of the installed package). Each input partition is packed in windows of about
     a million tokens, without any shuffle; a document is cut at a window's end if it has to be.
+    Other columns are not read. An empty table gives no rows.
     """
     prepare(docs.sparkSession)
 

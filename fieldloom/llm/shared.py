@@ -1,7 +1,7 @@
 """Where operators cut lineage and keep files that driver and executors both read.
 
-The folder is the session's ``spark.checkpoint.dir``. Only where that is unset (single
-machine, tests) a temporary folder of this machine is made and set.
+The folder is the session's ``spark.checkpoint.dir``. Only where that is unset and the master
+is local (tests) a temporary folder of this machine is made and set.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="fieldloom-")
         atexit.register(shutil.rmtree, folder[7:], ignore_errors=True)
     if spark.sparkContext.getCheckpointDir() is None:
