@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import textkit as tk
-from .labelled import remainder, sample
-from .shared import pack, prepare, unpack
+from .labelled import fitted, remainder, sample
+from .shared import prepare
 
 BITS = 18
 #: The classifier is fitted on at most this many labelled rows of each class.
@@ -84,8 +86,8 @@ class Ftrl:
         self.bias -= slope * 0.3 / np.sqrt(1 + self.bias_n)
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, seed: int = 5) -> tuple[np.ndarray, float]:
-    """Weights by slot, and the bias. Both classes weigh alike."""
+def train(rows: Sequence[tuple[np.ndarray, np.ndarray]], y: np.ndarray, seed: int = 5) -> tuple[np.ndarray, float]:
+    """Weights by slot, and the bias, from rows of (slots, counts). Both classes weigh alike."""
     model = Ftrl(1 << BITS)
     if len(set(y.tolist())) < 2:
         return np.zeros(1 << BITS, np.float32), 40.0 if len(y) == 0 or y[0] == 1 else -40.0
@@ -93,7 +95,8 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, seed: int =
     rng = np.random.default_rng(seed)
     for _ in range(EPOCHS):
         for i in rng.permutation(len(rows)):
-            model.update(*rows[i], float(y[i]), weight[int(y[i])])
+            slots, counts = rows[i]
+            model.update(slots.astype(np.int64), SCALE * counts / max(1, counts.sum()), float(y[i]), weight[int(y[i])])
     return model.weights().astype(np.float32), float(model.bias)
 
 
@@ -110,28 +113,15 @@ def _rows(batch: pa.RecordBatch):
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS) -> tuple[np.ndarray, float]:
     """The model of ``labels`` (doc_id, quality) on rows outside the held-out fold, from at most ``per_class`` rows of each class."""
     prepare(docs.sparkSession)
-    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
-
-    def run(batches):
-        for batch in batches:
-            ids, ys = tk.column(batch, "doc_id"), tk.column(batch, "y")
-            got = [(ids[i].as_py(), ys[i].as_py(), pack(s.astype(np.uint32)), pack(c.astype(np.uint32))) for i, s, c in _rows(batch)]
-            cols = zip(*got, strict=True) if got else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "y", "slots", "counts"])
-
-    rows = sorted(sample(docs, labels, label, FOLDS, HELD, per_class).mapInArrow(run, "doc_id long, y int, slots binary, counts binary").collect())
-    sparse = []
-    for r in rows:
-        counts = unpack(r.counts, np.uint32)
-        sparse.append((unpack(r.slots, np.uint32).astype(np.int64), SCALE * counts / max(1, counts.sum())))
-    return train(sparse, np.array([r.y for r in rows], np.int64))
+    return fitted(sample(docs, labels, label, FOLDS, HELD, per_class), _rows, train)
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``: the probability of label 1, from the whole text.
 
     A null or empty text has no n-grams and gets the bias alone. Rows with a null doc_id are
-    scored too and are not held out. Without training rows of both classes the score is that
+    scored too and are not held out; repeated rows score alike. Other columns are not read. An
+    empty table gives no rows. Without training rows of both classes the score is that
     of the only class, or near 1 without any.
     """
     spark = prepare(docs.sparkSession)

@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import textkit as tk
-from .labelled import remainder, sample
-from .shared import pack, prepare, unpack
+from .labelled import fitted, remainder, sample
+from .shared import prepare
 
 BITS = 17
 DIM = 4
@@ -65,7 +65,7 @@ def _bags(batch: pa.RecordBatch):
             _, pick, times = np.unique(hashes[words.first[i] : words.first[i + 1]], return_index=True, return_counts=True)
             bucket, owner = subwords(words, hashes, pick + words.first[i])
             found, where = np.unique(bucket, return_inverse=True)
-            yield a + i, found.astype(np.uint32), np.bincount(where, times[owner], len(found)).astype(np.float32)
+            yield a + i, found.astype(np.uint32), np.bincount(where, times[owner], len(found))
 
 
 def train(bags: Sequence[tuple[np.ndarray, np.ndarray]], y: np.ndarray, seed: int = 7) -> tuple[np.ndarray, float]:
@@ -124,29 +124,7 @@ def train(bags: Sequence[tuple[np.ndarray, np.ndarray]], y: np.ndarray, seed: in
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS) -> tuple[np.ndarray, float]:
     """The model of ``labels`` (doc_id, toxic) on rows outside the held-out fold, from at most ``per_class`` rows of each class."""
     prepare(docs.sparkSession)
-    rows = sample(docs, labels, label, FOLDS, HELD, per_class)
-
-    def run(batches):
-        for batch in batches:
-            ids, ys = tk.column(batch, "doc_id"), tk.column(batch, "y")
-            got = [(ids[i].as_py(), ys[i].as_py(), pack(b), pack(c)) for i, b, c in _bags(batch)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)] if got else [pa.array([], t) for t in (pa.int64(), pa.int32(), pa.binary(), pa.binary())], names=["doc_id", "y", "buckets", "counts"])
-
-    got = sorted((r.doc_id, r.y, bytes(r.buckets), bytes(r.counts)) for r in rows.mapInArrow(run, "doc_id long, y int, buckets binary, counts binary").toLocalIterator())
-    return train(Packed([g[2:] for g in got]), np.array([g[1] for g in got], np.int64))
-
-
-class Packed(Sequence):
-    """Bags of subwords that stay compressed until one is read."""
-
-    def __init__(self, blobs: list[tuple[bytes, bytes]]):
-        self.blobs = blobs
-
-    def __len__(self) -> int:
-        return len(self.blobs)
-
-    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        return unpack(self.blobs[i][0], np.uint32), unpack(self.blobs[i][1], np.float32)
+    return fitted(sample(docs, labels, label, FOLDS, HELD, per_class), _bags, train)
 
 
 def scored(docs: DataFrame, model: tuple[np.ndarray, float], out: str = "score") -> DataFrame:
@@ -174,13 +152,19 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float], out: str = "score")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of ``docs`` (repeated and null ids too)."""
+    """doc_id, held_out, score, predicted for every row of ``docs``: the probability of label 1, from the whole text, however long.
+
+    A null or empty text has no subwords and gets the bias alone. Rows with a null doc_id are
+    scored too and are not held out; equal texts get equal scores, whatever their ids. Other
+    columns are not read. An empty table gives no rows. Without training rows of both classes
+    the score is that of the only class, or near 0 without any.
+    """
     rows = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), fit(docs, labels))
     return rows.select("doc_id", F.coalesce(remainder(F.col("doc_id"), FOLDS) == HELD, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The documents that score below the threshold; columns as they were."""
+    """The documents that score below the threshold, each row by itself, with null and repeated ids too; columns as they were. Null and empty texts have the bias alone."""
     score = "_score"
     while score in docs.columns:
         score += "_"
