@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import heapq
 import math
 
@@ -9,17 +10,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .shared import prepare
+from .labelled import lowest
+from .shared import Store, cut, freed, prepare
 
-#: Vectors that the tree is fitted on at most; every vector is then put into a leaf.
-SAMPLE = 20_000
+#: Vectors that the tree is fitted on at most, and their bytes in double precision; every vector is then put into a leaf.
+SAMPLE, SAMPLE_BYTES = 20_000, 32 << 20
 BRANCH = 4
 #: Queries that the number of leaf visits is calibrated on, and the recall it must reach there.
 CALIBRATION, RECALL = 256, 0.96
 #: Leaves for up to a million vectors; more vectors get more leaves, by the square root.
 LEAVES, PER_LEAF = 64, 64
-#: Rows and queries that are scored together in one group.
-ROW_BLOCK, QUERY_BLOCK = 4096, 1024
+#: Rows in one file of a leaf, about, and rows and queries that are scored together.
+FILE_ROWS, ROW_BLOCK, QUERY_BLOCK = 1 << 14, 4096, 1024
 
 
 class Tree:
@@ -114,18 +116,13 @@ def best(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids:
         yield q, order[near[ranked]], score[ranked]
 
 
-def top(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int):
-    """(query id, row id, score): best() with the rows' ids."""
-    for q, at, score in best(queries, query_ids, rows, row_ids, k):
-        yield q, row_ids[at], score
-
-
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64()), ("leaf", pa.int32())])
 
 
-def _found(parts: list, leaf: int | None = None) -> pa.RecordBatch:
-    cols = [np.concatenate([np.full(len(r), q) for q, r, _ in parts]) if parts else [], np.concatenate([r for _, r, _ in parts]) if parts else [], np.concatenate([s for *_, s in parts]) if parts else []]
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array([leaf] * len(cols[0]), pa.int32())], schema=_FOUND)
+def _found(parts: list) -> pa.RecordBatch:
+    """(query id, row ids, scores, leaf) of some queries as a batch."""
+    cols = [np.concatenate(x) if parts else [] for x in zip(*[(np.full(len(r), q), r, s, np.full(len(r), leaf)) for q, r, s, leaf in parts], strict=True)] if parts else [[]] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _FOUND, strict=True)], schema=_FOUND)
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -133,6 +130,45 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+class Nearest:
+    """The k best rows of some queries over blocks of rows that come one after the other."""
+
+    def __init__(self, queries: np.ndarray, ids: np.ndarray, k: int):
+        self.queries, self.ids, self.k = queries, ids, k
+        self.held: list[list] = [[] for _ in ids]
+        self.size = np.zeros(len(ids), np.int64)
+
+    def meet(self, which: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, leaf: int) -> None:
+        for a in range(0, len(rows), ROW_BLOCK):
+            part, pid = rows[a : a + ROW_BLOCK].astype(np.float64), row_ids[a : a + ROW_BLOCK]
+            for n, (_, at, score) in zip(which, best(self.queries[which], self.ids[which], part, pid, self.k), strict=True):
+                self.held[n].append((pid[at], score, np.full(len(at), leaf)))
+                self.size[n] += len(at)
+                if self.size[n] > 64 * self.k:
+                    self.held[n] = [self._best(n)]
+                    self.size[n] = len(self.held[n][0][0])
+
+    def _best(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids, score, leaf = (np.concatenate(x) for x in zip(*self.held[n], strict=True))
+        order = np.lexsort((leaf, ids, -score))
+        _, once = np.unique(ids[order], return_index=True)
+        order = order[np.sort(once)][: self.k]
+        return ids[order], score[order], leaf[order]
+
+    def found(self) -> pa.RecordBatch:
+        return _found([(q, *self._best(n)) for n, q in enumerate(self.ids) if self.held[n]])
+
+
+class Leaves:
+    """Rows of a leaf in files of the shared folder, about FILE_ROWS in each."""
+
+    def __init__(self, store: Store, kind: np.dtype, files: np.ndarray):
+        self.store, self.kind, self.files = store, kind, files
+
+    def read(self, leaf: int, file: int) -> np.ndarray:
+        return self.store.map(f"leaf-{leaf}-{file}", self.kind)
+
+
 def nearest(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose vec_id is divisible by ``every``, the ``k`` nearest found among all other rows.
 
@@ -140,28 +176,32 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = RE
     there are fewer candidates than k, all are given. Rows with a null id or with vectors that
     are null, empty, zero, or hold null or non-finite components take no part, nor do vectors of
     another length than the most frequent one. Rows that share a vec_id are one candidate, by
-    their best score. An empty table gives no rows.
-
-    How: the tree is fitted on at most SAMPLE vectors; every row gets a leaf. On CALIBRATION
-    queries, brute force over all rows tells in which visit each true neighbour's leaf comes;
-    the number of leaf visits is the smallest that reaches ``recall`` there. Each query then
-    meets the rows of its leaves in blocks of bounded size, so neither a full leaf (equal
-    vectors) nor many queries of one leaf make a large task.
+    their best score, and one query. Other columns are not read. An empty table gives no rows.
+
+    How: the tree is fitted on at most SAMPLE vectors; every row gets a leaf, and is written to
+    one of its leaf's files in the shared folder, so rows move once. On CALIBRATION queries,
+    brute force over all files tells in which visit each true neighbour's leaf comes; the
+    number of leaf visits is the smallest that reaches ``recall`` there. Tasks hold some
+    queries each, visit their leaves' files one after the other and keep k rows of each query,
+    so neither a full leaf (equal vectors) nor a leaf that all queries visit makes a large task
+    or a large shuffle.
     """
     spark = prepare(vectors.sparkSession)
-    v = F.transform("embedding", lambda x: x.cast("double"))
+    kind = "float" if dict(vectors.dtypes)["embedding"] == "array<float>" else "double"
+    v = F.transform("embedding", lambda x: x.cast(kind))
     base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(
         F.col("vec_id").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     )
-    sizes = base.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
+    with freed(spark):
+        sizes = base.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
     empty = "query_id long, rank int, vec_id long, score double"
     if not sizes:
         return spark.createDataFrame([], empty)
     dim, total = int(sizes[0]["dim"]), int(sizes[0]["count"])
     base = base.where(F.size("v") == dim)
-    hashed = F.xxhash64(F.col("vec_id"), F.lit("fit"))
-    sample = base.orderBy(hashed, "vec_id").limit(SAMPLE)
-    picked = np.array([r["v"] for r in sample.select("v").collect()])
+    hashed = lambda seed: F.xxhash64(F.col("vec_id"), F.lit(seed))
+    with freed(spark):
+        picked = _matrix(lowest(base, hashed("fit"), total, max(64, min(SAMPLE, SAMPLE_BYTES // (8 * dim)))).select("v").toArrow()["v"], dim)
     leaves = max(1, min(LEAVES * max(1, math.isqrt(total // 1_000_000)), total // PER_LEAF, len(picked) // 8))
     tree = Tree(picked, leaves)
     shared_tree = spark.sparkContext.broadcast(tree)
@@ -171,70 +211,96 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = RE
             leaf = shared_tree.value.assign(_matrix(batch.column(1), dim)) if batch.num_rows else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(leaf, pa.int32())], names=["vec_id", "v", "leaf"])
 
-    placed = base.mapInArrow(put, "vec_id long, v array<double>, leaf int")
-    counts = np.zeros(len(tree.leaf), np.int64)
-    held = np.zeros(len(tree.leaf), np.int64)  # an id counts in one of its leaves, so leaves hold at least so many ids together
-    for r in placed.groupBy("vec_id").agg(F.min("leaf").alias("leaf")).groupBy("leaf").count().collect():
-        held[r["leaf"]] = r["count"]
-    for r in placed.groupBy("leaf").count().collect():  # one number for each leaf
-        counts[r["leaf"]] = r["count"]
-    least = _calibrated(placed, tree, counts, dim, every, k, recall)
+    placed = base.mapInArrow(put, f"vec_id long, v array<{kind}>, leaf int")
+    counts, held = np.zeros(len(tree.leaf), np.int64), np.zeros(len(tree.leaf), np.int64)
+    where = cut(placed.groupBy("vec_id", "leaf").agg(F.count("*").alias("n")))
+    for r in where.groupBy("leaf").agg(F.sum("n").alias("n")).collect():  # one number for each leaf
+        counts[r["leaf"]] = r["n"]
+    for r in where.groupBy("vec_id").agg(F.min("leaf").alias("leaf")).groupBy("leaf").count().collect():
+        held[r["leaf"]] = r["count"]  # an id counts in one of its leaves, so leaves hold at least so many ids together
+    store = Store.new(spark, "ann")
+    atexit.register(store.remove)
+    kept = Leaves(store, np.dtype([("id", "<i8"), ("v", "<f4" if kind == "float" else "<f8", (dim,))]), np.maximum(1, -(-counts // FILE_ROWS)))
+
+    def write(key: tuple, table: pa.Table) -> pa.Table:
+        rows = np.zeros(table.num_rows, kept.kind)
+        rows["id"], rows["v"] = table["vec_id"].to_numpy(), _matrix(table["v"], dim)
+        leaf, file = key[0].as_py(), key[1].as_py()
+        kept.store.write(f"leaf-{leaf}-{file}", rows)
+        return pa.Table.from_pydict({"leaf": [leaf], "file": [file]}, schema=_FILES)
+
+    n_files = F.element_at(F.array(*[F.lit(int(n)) for n in kept.files]), F.col("leaf") + 1)
+    # equal rows are one candidate, so those that very many rows repeat are one row here; the others spread over their leaf's files
+    spread = placed.dropDuplicates(["vec_id", "v"]).withColumn("file", F.pmod(F.xxhash64("vec_id", "v"), n_files).cast("int"))
+    with freed(spark):
+        files = spread.groupBy("leaf", "file").applyInArrow(write, "leaf int, file int").collect()  # two numbers for about FILE_ROWS rows
+    there = {(r["leaf"], r["file"]) for r in files}
+    least = _calibrated(base, spark.createDataFrame(sorted(there), "leaf int, file int"), kept, tree, counts, dim, every, k, recall)
+    names = spark.sparkContext.broadcast({leaf: sorted(f for x, f in there if x == leaf) for leaf in {x for x, _ in there}})
+
+    def search(batches):
+        ids, rows, n = [], [], 0
+
+        def answer():
+            q, m = np.concatenate(ids), np.concatenate(rows)
+            visits = np.zeros((len(q), len(counts)), bool)
+            for i, x in enumerate(m):
+                visits[i, shared_tree.value.visits(x, least, held, k + 1)] = True
+            near = Nearest(m, q, k)
+            for leaf in np.flatnonzero(visits.any(0)).tolist():
+                which = np.flatnonzero(visits[:, leaf])
+                for file in names.value.get(leaf, ()):
+                    block = kept.read(leaf, file)
+                    near.meet(which, block["v"], block["id"], leaf)
+            return near.found()
 
-    blocks = np.maximum(1, -(-counts // ROW_BLOCK))
-    asked = base.where(F.col("vec_id") % every == 0)
-
-    def route(batches):
         for batch in batches:
-            ids, m = batch.column(0).to_pylist(), _matrix(batch.column(1), dim)
-            for a in range(0, len(ids), 64):  # a query goes to every block of its leaves
-                rows = [(i, leaf, b) for i in range(a, min(a + 64, len(ids))) for leaf in shared_tree.value.visits(m[i], least, held, k + 1) for b in range(int(blocks[leaf]))]
-                at = pa.array([i for i, *_ in rows], pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([x for _, x, _ in rows], pa.int32()), pa.array([x for *_, x in rows], pa.int32())], names=["query_id", "q", "leaf", "block"])
-
-    routed = asked.mapInArrow(route, "query_id long, q array<double>, leaf int, block int")
-    # queries of one leaf come in groups too; rows go to each group
-    most = math.ceil(total / every / QUERY_BLOCK)
-    group = F.pmod(F.xxhash64("query_id"), F.lit(max(1, most)))
-    routed = routed.withColumn("group", group)
-    n_blocks = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), F.col("leaf") + 1)
-    rows = placed.withColumn("block", F.pmod(F.xxhash64("vec_id"), n_blocks).cast("int")).withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(1, most) - 1).cast("long"))))
-
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.Table.from_batches([], schema=_FOUND)
-        r, rid = _matrix(right["v"], dim), right["vec_id"].to_numpy()
-        out = []
-        for a in range(0, left.num_rows, QUERY_BLOCK):
-            part = left.slice(a, QUERY_BLOCK)
-            out += list(top(_matrix(part["q"], dim), part["query_id"].to_numpy(), r, rid, k))
-        return pa.Table.from_batches([_found(out)], schema=_FOUND)
-
-    keys = ["leaf", "block", "group"]
-    found = routed.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(score, "query_id long, vec_id long, score double, leaf int")
+            for a in range(0, batch.num_rows, QUERY_BLOCK):
+                part = batch.slice(a, QUERY_BLOCK)
+                ids.append(part.column(0).to_numpy(zero_copy_only=False))
+                rows.append(_matrix(part.column(1), dim))
+                n += part.num_rows
+                if n >= QUERY_BLOCK:
+                    yield answer()
+                    ids, rows, n = [], [], 0
+        if n:
+            yield answer()
+
+    tasks = max(1, min(2 * spark.sparkContext.defaultParallelism, total // every // 32), total // every // (4 * QUERY_BLOCK))
+    asked = base.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"]).repartition(tasks)
+    found = asked.mapInArrow(search, "query_id long, vec_id long, score double, leaf int")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return _ranked(found, k).select("query_id", "rank", "vec_id", "score")
 
 
-def _calibrated(placed: DataFrame, tree: Tree, counts: np.ndarray, dim: int, every: int, k: int, recall: float) -> int:
+_FILES = pa.schema([("leaf", pa.int32()), ("file", pa.int32())])
+
+
+def _calibrated(base: DataFrame, files: DataFrame, kept: Leaves, tree: Tree, counts: np.ndarray, dim: int, every: int, k: int, recall: float) -> int:
     """The least number of leaf visits that finds this share of the calibration queries' true neighbours."""
-    ask = placed.where(F.col("vec_id") % every == 0).orderBy(F.xxhash64(F.col("vec_id"), F.lit("ask")), "vec_id").limit(CALIBRATION).select("vec_id", "v").collect()
-    if not ask:
+    asked = base.where(F.col("vec_id") % every == 0)
+    spark = base.sparkSession
+    with freed(spark):
+        ask = lowest(asked, F.xxhash64(F.col("vec_id"), F.lit("ask")), asked.count(), CALIBRATION).toArrow()
+    if not ask.num_rows:
         return 1
-    ids, m = np.array([r["vec_id"] for r in ask]), np.array([r["v"] for r in ask])
-    shared = placed.sparkSession.sparkContext.broadcast((ids, m))
+    ids, m = ask["vec_id"].to_numpy(), _matrix(ask["v"], dim)
+    shared = spark.sparkContext.broadcast((ids, m))
 
     def brute(batches):
         ids, m = shared.value
+        near = Nearest(m, ids, k)
         for batch in batches:
-            x, rid, leaf = _matrix(batch.column(1), dim), batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            for a in range(0, len(rid), ROW_BLOCK):
-                part = list(best(m, ids, x[a : a + ROW_BLOCK], rid[a : a + ROW_BLOCK], k))
-                done = _found([(q, rid[a + at], score) for q, at, score in part])
-                yield done.set_column(3, "leaf", pa.array(np.concatenate([leaf[a + at] for _, at, _ in part]), pa.int32()))
+            for leaf, file in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                block = kept.read(leaf, file)
+                near.meet(np.arange(len(ids)), block["v"], block["id"], leaf)
+        yield near.found()
 
-    found = placed.mapInArrow(brute, "query_id long, vec_id long, score double, leaf int")
+    tasks = max(1, min(int(files.count()), spark.sparkContext.defaultParallelism * 4))
+    found = files.repartition(tasks).mapInArrow(brute, "query_id long, vec_id long, score double, leaf int")
     found = found.groupBy("query_id", "vec_id").agg(F.max(F.struct("score", "leaf")).alias("b")).select("query_id", "vec_id", "b.score", "b.leaf")
-    true = _ranked(found, k).select("query_id", "leaf").collect()
+    with freed(spark):
+        true = _ranked(found, k).select("query_id", "leaf").collect()  # k rows for each of CALIBRATION queries
     order = {int(q): {leaf: n for n, leaf in enumerate(tree.visits(x, len(counts), counts, 0), 1)} for q, x in zip(ids, m, strict=True)}
     ranks = np.sort([order[r["query_id"]][r["leaf"]] for r in true])
     return int(ranks[max(0, math.ceil(recall * len(ranks)) - 1)]) if len(ranks) else 1
