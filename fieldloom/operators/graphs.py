@@ -56,10 +56,34 @@ def pairwise(points: DataFrame, metric: str = "euclidean", within: tuple = ()) -
 
 
 def epsilon_graph(points: DataFrame, eps: float, metric: str = "cityblock", inclusive: bool = True) -> DataFrame:
-    """Edges between different points at most (or less than) eps apart, weighted by distance; weight 0 is kept."""
+    """Edges between different points at most (or less than) eps apart, weighted by distance; weight 0 is kept.
+
+    In up to CELL_DIMS dimensions, points meet only those of their own and neighbouring cells of
+    width eps; beyond that, all pairs of blocks meet.
+    """
+    first = points.select(F.size("pos").alias("n")).first()
+    if first is not None and 0 < first["n"] <= CELL_DIMS and metric in CELL_METRICS and eps > 0:
+        return _by_cells(points, eps, metric, inclusive, first["n"])
     return _blockwise(points, metric, lambda d, same, ids: np.nonzero(((d <= eps) if inclusive else (d < eps)) & ~same))
 
 
+#: Metrics under which points at most eps apart differ by at most eps in each dimension, and the dimensions in which cells pay.
+CELL_METRICS, CELL_DIMS = ("euclidean", "cityblock", "chebyshev"), 3
+
+
+def _by_cells(points: DataFrame, eps: float, metric: str, inclusive: bool, dims: int) -> DataFrame:
+    from ..functions.columns import METRICS
+
+    own = [F.floor(F.col("pos")[d] / eps).cast("long") for d in range(dims)]
+    right = points.select(F.col("v").alias("dst"), F.col("pos").alias("b"), *[c.alias(f"c{d}") for d, c in enumerate(own)])
+    left = points.select(F.col("v").alias("src"), F.col("pos").alias("a"), *[c.alias(f"o{d}") for d, c in enumerate(own)])
+    for d in range(dims):
+        left = left.withColumn(f"c{d}", F.explode(F.array(*[F.col(f"o{d}") + s for s in (-1, 0, 1)])))
+    w = F.round(METRICS[metric](F.col("a"), F.col("b")), 9) + F.lit(0.0)
+    pairs = left.join(right, [f"c{d}" for d in range(dims)]).where("src <> dst").select("src", "dst", w.alias("w"))
+    return pairs.where(F.col("w") <= eps if inclusive else F.col("w") < eps)
+
+
 def knn_graph(points: DataFrame, k: int, metric: str = "euclidean", include_self: bool = False) -> DataFrame:
     """Directed edges to each point's k nearest points by (distance, id). Each block keeps k at most, so the ranking sees k rows of each block."""
 
@@ -115,6 +139,30 @@ def induced(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     return edges.join(vertices.select(F.col("v").alias("src")), "src", "left_semi").join(vertices.select(F.col("v").alias("dst")), "dst", "left_semi").select("src", "dst", "w")
 
 
+def remapped(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """Edges with both ends renamed by ``ids`` (old, new); edges with an end that has no new name go."""
+    end = lambda x: ids.select(F.col("old").alias(x), F.col("new").alias(f"n_{x}"))
+    return edges.join(end("src"), "src").join(end("dst"), "dst").select(F.col("n_src").alias("src"), F.col("n_dst").alias("dst"), "w")
+
+
+def dense_vector(values: DataFrame, vertices: DataFrame, fill: float = 0.0) -> DataFrame:
+    """(at, v, x): a value for every vertex (v) by its rank from 0, ``fill`` where ``values`` (v, x) has none."""
+    from .blocks import places
+
+    return places(vertices).join(values, "v", "left").select("at", "v", F.coalesce("x", F.lit(float(fill))).alias("x"))
+
+
+def named_vector(dense: DataFrame, names: DataFrame) -> DataFrame:
+    """(name, x): values (at, x) by the names (at, name) of their places."""
+    return dense.join(names, "at").select("name", "x")
+
+
+def gathered(edges: DataFrame, values: DataFrame, name: str = "x") -> DataFrame:
+    """Edges with what ``values`` (v, name) holds for their ends, as src_name and dst_name."""
+    end = lambda x: values.select(F.col("v").alias(x), F.col(name).alias(f"{x}_{name}"))
+    return edges.join(end("src"), "src").join(end("dst"), "dst")
+
+
 def unit_weights(edges: DataFrame, w: float = 1.0) -> DataFrame:
     return edges.select("src", "dst", F.lit(float(w)).alias("w"))
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import dense
 from . import linalg as la
+from .integrators import square_integrate
 from .stage import cut
 from .transport import sinkhorn
 
@@ -26,23 +28,49 @@ def _times_p(m: DataFrame, p: DataFrame) -> DataFrame:
     return m.join(p.select(F.col("v").alias("j"), F.col("x").alias("p")), "j").groupBy(F.col("i").alias("v")).agg(F.sum(F.col("x") * F.col("p")).alias("x"))
 
 
-def invariant_cost(cs: DataFrame, ct: DataFrame, ps: DataFrame, pt: DataFrame, loss: str = "square_loss", prior: float = 0.0) -> DataFrame:
-    """(i, j, x): f1(Cs) ps (+) f2(Ct) pt, plus prior * (ps_i - pt_j)^2: the part of the cost that no plan changes. Absent entries of Cs and Ct are zeros (f(0) = 0)."""
+def _side(m, p: DataFrame, f, name: str, key: str) -> DataFrame:
+    """(key, p, name): f(m) p for each vertex of p; ``m`` is (i, j, x) or an integrator, whose entries can only be squared."""
+    if hasattr(m, "integrate"):
+        if f is not LOSSES["square_loss"][0] and f is not LOSSES["square_loss"][1]:
+            raise ValueError("an integrator's entries are only squared: square_loss")
+        sums = square_integrate(m, p)
+    else:
+        sums = _times_p(_f(m, f), p)
+    return p.join(sums.withColumnRenamed("x", name), "v", "left").select(F.col("v").alias(key), F.col("x").alias(f"p{key}"), F.coalesce(name, F.lit(0.0)).alias(name))
+
+
+def invariant_cost(cs, ct, ps: DataFrame, pt: DataFrame, loss: str = "square_loss", prior: float = 0.0) -> DataFrame:
+    """(i, j, x): f1(Cs) ps (+) f2(Ct) pt, plus prior * (ps_i - pt_j)^2: the part of the cost that no plan changes.
+
+    Cs and Ct are (i, j, x), absent entries being zeros (f(0) = 0), or integrators (square loss).
+    """
     f1, f2, *_ = LOSSES[loss]
-    left = ps.join(_times_p(_f(cs, f1), ps).withColumnRenamed("x", "a"), "v", "left").select(F.col("v").alias("i"), F.col("x").alias("pi"), F.coalesce("a", F.lit(0.0)).alias("a"))
-    right = pt.join(_times_p(_f(ct, f2), pt).withColumnRenamed("x", "b"), "v", "left").select(F.col("v").alias("j"), F.col("x").alias("pj"), F.coalesce("b", F.lit(0.0)).alias("b"))
+    left, right = _side(cs, ps, f1, "a", "i"), _side(ct, pt, f2, "b", "j")
     gap = F.col("pi") - F.col("pj")
     return left.crossJoin(right).select("i", "j", (F.col("a") + F.col("b") + prior * gap * gap).alias("x"))  # as many rows as the cost has entries
 
 
-def sandwich(cs: DataFrame, plan: DataFrame, ct: DataFrame) -> DataFrame:
-    """Cs T Ct'."""
-    return la.matmul(la.matmul(cs, plan), la.transpose(ct))
+def _through(m, plan: DataFrame) -> DataFrame:
+    """M T as (i, j, x), T's columns being the fields that an integrator gets."""
+    if not hasattr(m, "integrate"):
+        return la.matmul(m, plan)
+    out = m.integrate(plan.select(F.col("i").alias("v"), F.col("j").alias("k"), "x"))
+    return out.select(F.col("v").alias("i"), F.col("k").cast("long").alias("j"), "x")
+
+
+def sandwich(cs, plan: DataFrame, ct) -> DataFrame:
+    """Cs T Ct', each cost as (i, j, x) or an integrator of a symmetric kernel."""
+    half = _through(cs, plan)
+    if not hasattr(ct, "integrate"):
+        return la.matmul(half, la.transpose(ct))
+    return la.transpose(_through(ct, la.transpose(cut(half))))
 
 
-def tensor_product(const: DataFrame, cs: DataFrame, ct: DataFrame, plan: DataFrame, loss: str = "square_loss") -> DataFrame:
+def tensor_product(const: DataFrame, cs, ct, plan: DataFrame, loss: str = "square_loss") -> DataFrame:
     """const - h1(Cs) T h2(Ct)'."""
     *_, h1, h2 = LOSSES[loss]
+    if hasattr(cs, "integrate") or hasattr(ct, "integrate"):
+        return la.add(const, la.scale(sandwich(cs, plan, ct), -2.0))
     return la.add(const, la.scale(sandwich(_f(cs, h1), plan, _f(ct, h2)), -1.0))
 
 
@@ -62,16 +90,40 @@ def softmax_gradient(theta: DataFrame, g: DataFrame) -> DataFrame:
     return both.select("v", (F.col("p") * (F.col("x") - F.col("m"))).alias("x"))
 
 
-def proximal(cs: DataFrame, ct: DataFrame, ps: DataFrame, pt: DataFrame, beta: float, outer: int, inner: int) -> tuple[DataFrame, DataFrame]:
-    """(plan, cost (x)) after fixed proximal steps: each a Sinkhorn on the present cost, weighted by the plan before it."""
+def proximal(cs, ct, ps: DataFrame, pt: DataFrame, beta: float, outer: int, inner: int, bound: float | None = None, entropic: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(plan, cost (x)) after proximal steps: each a Sinkhorn on the present cost, weighted by the plan before it (``entropic``: by nothing).
+
+    Cs and Ct are (i, j, x) or integrators, through which the cost is made without the matrices.
+    With ``bound`` it stops when the plan's relative change in sum is below it.
+    """
     const = cut(invariant_cost(cs, ct, ps, pt))
     plan = cut(la.outer(ps, pt))
     for _ in range(outer):
         cost = cut(tensor_product(const, cs, ct, plan))
-        plan = cut(sinkhorn(cost, ps, pt, beta, inner, start=plan))
+        new = cut(sinkhorn(cost, ps, pt, beta, inner, start=None if entropic else plan))
+        if bound is not None:
+            both = new.join(plan.withColumnRenamed("x", "y"), ["i", "j"], "full").fillna(0.0, ["x", "y"])
+            change = both.agg(F.sum(F.abs(F.col("x") - F.col("y"))) / F.sum(F.abs("y"))).first()[0]
+        plan = new
+        if bound is not None and (change or 0.0) <= bound:
+            break
     return plan, la.inner(tensor_product(const, cs, ct, plan), plan)
 
 
+def proximal_mass(cs, ct, vertices: DataFrame, pt: DataFrame, beta: float, outer: int, inner: int, rate: float = 0.1, weight: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """(plan, ps (v, x)): proximal steps that also move the source's masses, which start even, by update_distribution() after each step."""
+    theta = cut(vertices.select("v", F.lit(0.0).alias("x")))
+    ps = cut(theta.crossJoin(F.broadcast(theta.agg(F.count("*").alias("n")))).select("v", (1.0 / F.col("n")).alias("x")))  # one row is sent
+    const = cut(invariant_cost(cs, ct, ps, pt))
+    plan = cut(la.outer(ps, pt))
+    for _ in range(outer):
+        cost = cut(tensor_product(const, cs, ct, plan))
+        plan, a, _ = sinkhorn(cost, ps, pt, beta, inner, start=plan, scalings=True)
+        plan, a = cut(plan), cut(a)
+        theta, ps = (cut(x) for x in update_distribution(theta, ps, a, beta, rate, weight))
+    return plan, ps
+
+
 def average(graphs: DataFrame, plans: DataFrame, center: DataFrame, weights: dict) -> DataFrame:
     """(i, j, x): sum over graphs of weight * (T' C T) / (p p'). ``graphs`` (g, i, j, x), ``plans`` (g, i, j, x) from nodes to centre, ``center`` (v, x). All graphs share the joins."""
     w = F.element_at(F.create_map(*[F.lit(x) for g, a in weights.items() for x in (g, float(a))]), F.col("g"))
@@ -107,23 +159,76 @@ def target_distribution(dists: DataFrame, dim: int) -> DataFrame:
 # ---- whole solvers, one task for each pair ---------------------------------------------------
 
 
+#: f1, f2, h1, h2 of the two losses, for arrays.
+ARRAY_LOSSES = {
+    "square_loss": (lambda a: a * a, lambda b: b * b, lambda a: a, lambda b: 2.0 * b),
+    "kl_loss": (lambda a: a * np.log(a + 1e-15) - a, lambda b: b, lambda a: a, lambda b: np.log(b + 1e-15)),
+}
+
+
 def square_tensor(c1: np.ndarray, c2: np.ndarray, p: np.ndarray, q: np.ndarray, plan: np.ndarray) -> np.ndarray:
     return (c1**2 @ p)[:, None] + (c2**2 @ q)[None] - 2 * c1 @ plan @ c2.T
 
 
-def conditional_gradient(m: np.ndarray, c1: np.ndarray, c2: np.ndarray, p: np.ndarray, q: np.ndarray, alpha: float = 1.0, iterations: int = 50, tolerance: float = 1e-9):
-    """(plan, objective) of (1 - alpha) <M, T> + alpha * GW by Frank-Wolfe: exact transport on the gradient, exact step on the quadratic."""
-    plan = np.outer(p, q)
-    const = (c1**2 @ p)[:, None] + (c2**2 @ q)[None]
-    value = lambda t: (1 - alpha) * (m * t).sum() + alpha * ((const - 2 * c1 @ t @ c2.T) * t).sum()
+class LowRank:
+    """K = I + Re(A C B') of random features, as far as the solvers need it: products, and the squares' product with a mass."""
+
+    def __init__(self, pos: np.ndarray, eps: float, rate: float, m: int = 16, seed: int = 0):
+        from . import integrators
+
+        omega = dense.projections(m, pos.shape[1], seed)
+        self.a, self.b = integrators.features(pos, omega, dense.box_transform(omega, eps) / dense.gaussian_density(omega))
+        self.a = self.a @ (integrators.series(rate * (self.b.T @ self.a)) * rate)
+
+    def __matmul__(self, x: np.ndarray) -> np.ndarray:
+        return x + (self.a @ (self.b.T @ x)).real
+
+    def squared(self, p: np.ndarray) -> np.ndarray:
+        plain, mixed = (self.b * p[:, None]).T @ self.b, (self.b * p[:, None]).T @ np.conj(self.b)
+        two = (np.einsum("np,pq,nq->n", self.a, plain, self.a) + np.einsum("np,pq,nq->n", self.a, mixed, np.conj(self.a))).real / 2
+        return two + (1 + 2 * (self.a * self.b).sum(1).real) * p
+
+
+def armijo(value, old: float, slope: float, first: float = 1.0, share: float = 1e-4, most: int = 30) -> float:
+    """A step in [0, 1] by halving until ``value(step)`` falls by ``share`` of what the slope promises; 0 if none does."""
+    step = first
+    for _ in range(most):
+        if value(step) <= old + share * step * slope:
+            return min(1.0, step)
+        step /= 2
+    return 0.0
+
+
+def closed_step(a: float, b: float) -> float:
+    """The step in [0, 1] at which a s^2 + b s is least."""
+    return float(np.clip(-b / (2 * a), 0, 1)) if a > 0 else float(a + b < 0)
+
+
+def conditional_gradient(m: np.ndarray, c1, c2, p: np.ndarray, q: np.ndarray, alpha: float = 1.0, iterations: int = 50, tolerance: float = 1e-9, loss: str = "square_loss", line: str = "closed", start: np.ndarray | None = None):
+    """(plan, objective) of (1 - alpha) <M, T> + alpha * GW by Frank-Wolfe: exact transport on the gradient, then a step.
+
+    The costs are symmetric matrices, or LowRank ones with the square loss. ``line`` is "closed",
+    the exact step on the quadratic, or "armijo". It stops when the objective's change is below
+    ``tolerance`` of its size.
+    """
+    if isinstance(c1, LowRank):
+        const, times = c1.squared(p)[:, None] + c2.squared(q)[None], lambda t: 2 * (c2 @ (c1 @ t).T).T
+    else:
+        f1, f2, h1, h2 = ARRAY_LOSSES[loss]
+        left, right = h1(c1), h2(c2)
+        const, times = (f1(c1) @ p)[:, None] + (f2(c2) @ q)[None], lambda t: left @ t @ right.T
+    plan = np.outer(p, q) if start is None else start
+    value = lambda t: (1 - alpha) * (m * t).sum() + alpha * ((const - times(t)) * t).sum()
     old = value(plan)
     for _ in range(iterations):
-        grad = (1 - alpha) * m + alpha * 2 * (const - 2 * c1 @ plan @ c2.T)
+        here = times(plan)
+        grad = (1 - alpha) * m + alpha * (const - 2 * here)
+        grad = grad + alpha * const if loss == "square_loss" else grad
         move = dense.transport(grad - grad.min(), p, q) - plan
-        inner = c1 @ move @ c2.T
-        a = -2 * alpha * (inner * move).sum()
-        b = (((1 - alpha) * m + alpha * const) * move).sum() - 2 * alpha * ((inner * plan).sum() + (c1 @ plan @ c2.T * move).sum())
-        step = float(np.clip(-b / (2 * a), 0, 1)) if a > 0 else float(a + b < 0)
+        inner = times(move)
+        a = -alpha * (inner * move).sum()
+        b = (((1 - alpha) * m + alpha * const) * move).sum() - alpha * ((inner * plan).sum() + (here * move).sum())
+        step = armijo(lambda s: value(plan + s * move), old, b) if line == "armijo" else closed_step(a, b)  # noqa: B023
         plan = plan + step * move
         new = value(plan)
         if abs(old - new) <= tolerance * max(abs(new), 1e-12):
@@ -138,11 +243,47 @@ def _dense(part: pd.DataFrame, ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def compare(pairs: DataFrame, alpha: float = 1.0, method: str = "cg", beta: float = 0.1, outer: int = 30, inner: int = 20) -> DataFrame:
+#: Costs between labels or feature vectors (arrays of rows) of two graphs.
+FEATURE_METRICS = {
+    "dirac": lambda a, b: (a[:, None] != b[None]).any(2).astype(float),
+    "hamming": lambda a, b: (a[:, None] != b[None]).sum(2).astype(float),
+    "sqeuclidean": lambda a, b: ((a[:, None] - b[None]) ** 2).sum(2),
+    "euclidean": lambda a, b: np.sqrt(((a[:, None] - b[None]) ** 2).sum(2)),
+    "cityblock": lambda a, b: np.abs(a[:, None] - b[None]).sum(2),
+}
+
+
+def _plan_rows(pair: int, ids: list, plan: np.ndarray, cost: float) -> pd.DataFrame:
+    i, j = np.meshgrid(ids[0], ids[1], indexing="ij")
+    keep = plan.ravel() > 1e-12
+    return pd.DataFrame({"pair": pair, "i": i.ravel()[keep], "j": j.ravel()[keep], "x": plan.ravel()[keep], "cost": cost})
+
+
+def compare_clouds(pairs: DataFrame, eps: float, rate: float, m: int = 16, alpha: float = 1.0, metric="dirac", seed: int = 0, line: str = "closed", iterations: int = 50) -> DataFrame:
+    """(pair, i, j, x, cost): fused plans between two clouds of each pair by the conditional gradient, costs being diffusion kernels of random features.
+
+    ``pairs`` has (pair, side 0/1, v, pos, label). No matrix of a cloud's pairs is made: products
+    and squares go through the features. ``metric`` names a feature cost or is a function of two
+    arrays of rows. One task for each pair.
+    """
+    cost_of = FEATURE_METRICS[metric] if isinstance(metric, str) else metric
+
+    def one(key, part: pd.DataFrame) -> pd.DataFrame:
+        sides = [part[part["side"] == s].sort_values("v") for s in (0, 1)]
+        c = [LowRank(np.array(s["pos"].tolist(), float), eps, rate, m, seed) for s in sides]
+        labels = [np.array(s["label"].tolist(), float).reshape(len(s), -1) for s in sides]
+        p, q = (np.full(len(s), 1 / len(s)) for s in sides)
+        plan, cost = conditional_gradient(cost_of(*labels), *c, p, q, alpha, iterations, line=line)
+        return _plan_rows(key[0], [s["v"].to_numpy() for s in sides], plan, cost)
+
+    return pairs.groupBy("pair").applyInPandas(one, "pair long, i long, j long, x double, cost double")
+
+
+def compare(pairs: DataFrame, alpha: float = 1.0, method: str = "cg", beta: float = 0.1, outer: int = 30, inner: int = 20, loss: str = "square_loss", line: str = "closed", metric="dirac") -> DataFrame:
     """(pair, i, j, x, cost): plans between the two graphs of each pair. ``pairs`` has (pair, side 0/1, i, j, x, label): both graphs' distances, labels of i for the feature cost. Masses are even.
 
     ``cg`` is the conditional gradient with exact transport (fused with labels where alpha < 1),
-    ``proximal`` the proximal point method. A pair is one task: meant for graphs of up to a few
+    ``proximal`` the proximal point method. ``metric`` names the cost of labels, or is a function of two arrays of rows. A pair is one task: meant for graphs of up to a few
     thousand nodes; larger ones take the steps above as joins.
     """
 
@@ -151,10 +292,10 @@ def compare(pairs: DataFrame, alpha: float = 1.0, method: str = "cg", beta: floa
         ids = [np.unique(s["i"]) for s in sides]
         c1, c2 = (_dense(s, i) for s, i in zip(sides, ids, strict=True))
         p, q = (np.full(len(i), 1 / len(i)) for i in ids)
-        labels = [s.groupby("i")["label"].first().to_numpy() for s in sides]
-        m = (labels[0][:, None] != labels[1][None]).astype(float)
+        labels = [np.array(s.groupby("i")["label"].first().tolist(), float).reshape(len(i), -1) for s, i in zip(sides, ids, strict=True)]
+        m = (FEATURE_METRICS[metric] if isinstance(metric, str) else metric)(*labels)
         if method == "cg":
-            plan, cost = conditional_gradient(m, c1, c2, p, q, alpha)
+            plan, cost = conditional_gradient(m, c1, c2, p, q, alpha, loss=loss, line=line)
         else:
             plan = np.outer(p, q)
             for _ in range(outer):
@@ -165,13 +306,69 @@ def compare(pairs: DataFrame, alpha: float = 1.0, method: str = "cg", beta: floa
                     a = p / np.maximum(k @ b, 1e-300)
                 plan = a[:, None] * k * b[None]
             cost = float(((1 - alpha) * m * plan + alpha * square_tensor(c1, c2, p, q, plan) * plan).sum())
-        i, j = np.meshgrid(ids[0], ids[1], indexing="ij")
-        keep = plan.ravel() > 1e-12
-        return pd.DataFrame({"pair": key[0], "i": i.ravel()[keep], "j": j.ravel()[keep], "x": plan.ravel()[keep], "cost": cost})
+        return _plan_rows(key[0], ids, plan, cost)
 
     return pairs.groupBy("pair").applyInPandas(one, "pair long, i long, j long, x double, cost double")
 
 
+def average_features(features: DataFrame, plans: DataFrame, center: DataFrame, weights: dict) -> DataFrame:
+    """(v, k, x): sum over graphs of weight * T' Y / p. ``features`` (g, v, k, x), ``plans`` (g, i, j, x) from nodes to centre, ``center`` (v, x)."""
+    w = F.element_at(F.create_map(*[F.lit(x) for g, a in weights.items() for x in (g, float(a))]), F.col("g"))
+    both = features.select("g", F.col("v").alias("i"), "k", F.col("x").alias("y")).join(plans, ["g", "i"]).groupBy(F.col("j").alias("v"), "k").agg(F.sum(w * F.col("x") * F.col("y")).alias("x"))
+    return both.join(center.withColumnRenamed("x", "p"), "v").select("v", "k", (F.col("x") / F.col("p")).alias("x"))
+
+
+def fused_barycenter(graphs: DataFrame, features: DataFrame, size: int, alpha: float = 0.5, iterations: int = 3, seed: int = 0, kl: bool = False, fixed_structure: DataFrame | None = None, fixed_features: DataFrame | None = None, metric: str = "sqeuclidean") -> tuple[DataFrame, DataFrame]:
+    """(structure (i, j, x), features (v, k, x)) of the fused barycenter of graphs (g, i, j, x) with features (g, v, k, x), on ``size`` nodes of even mass.
+
+    In each round the graphs' fused plans are one task each, the new structure and the new
+    features one join each over all graphs. A fixed structure or fixed features stay.
+    """
+    spark, rng = graphs.sparkSession, np.random.default_rng(seed)
+    ks = [r[0] for r in features.select("k").distinct().orderBy("k").collect()]
+    names = [r[0] for r in graphs.select("g").distinct().orderBy("g").collect()]
+    mass = cut(spark.createDataFrame([(i, 1.0 / size) for i in range(size)], "v long, x double"))
+    centre, y = rng.uniform(size=(size, size)), rng.uniform(size=(size, len(ks)))
+    centre = (centre + centre.T) / 2
+    np.fill_diagonal(centre, 0)
+
+    def read(df: DataFrame, shape: tuple, second: str) -> np.ndarray:  # size x size numbers, or size x features
+        out = np.zeros(shape)
+        for r in df.collect():
+            out[r[0], ks.index(r[second]) if second == "k" else r[second]] = r["x"]
+        return out
+
+    centre = centre if fixed_structure is None else read(fixed_structure, centre.shape, "j")
+    y = y if fixed_features is None else read(fixed_features, y.shape, "k")
+    rows = graphs.select("g", F.lit(0).alias("kind"), "i", F.col("j").cast("long").alias("j"), "x").unionByName(features.select("g", F.lit(1).alias("kind"), F.col("v").alias("i"), F.col("k").cast("long").alias("j"), "x"))
+
+    def planner(c: np.ndarray, y: np.ndarray):
+        def plan(key, part: pd.DataFrame) -> pd.DataFrame:
+            edges, own = part[part["kind"] == 0], part[part["kind"] == 1]
+            ids = np.unique(np.concatenate([edges["i"], edges["j"], own["i"]]).astype(np.int64))
+            cs, f = _dense(edges, ids), np.zeros((len(ids), len(ks)))
+            f[np.searchsorted(ids, own["i"]), np.searchsorted(np.array(ks), own["j"])] = own["x"]
+            p, q = np.full(len(ids), 1 / len(ids)), np.full(size, 1 / size)
+            t, _ = conditional_gradient(FEATURE_METRICS[metric](f, y), cs, c, p, q, alpha)
+            i, j = np.meshgrid(ids, np.arange(size), indexing="ij")
+            return pd.DataFrame({"g": key[0], "i": i.ravel(), "j": j.ravel(), "x": t.ravel()})
+
+        return plan
+
+    even = dict.fromkeys(names, 1.0 / len(names))
+    for _ in range(iterations):
+        plans = cut(rows.groupBy("g").applyInPandas(planner(centre, y), "g long, i long, j long, x double"))
+        if fixed_structure is None:
+            source = graphs.withColumn("x", F.log(F.col("x") + 1e-15)) if kl else graphs
+            centre = read(average(source, plans, mass, even), centre.shape, "j")
+            centre = np.exp(centre) if kl else centre
+        if fixed_features is None:
+            y = read(average_features(features, plans, mass, even), y.shape, "k")
+    structure = spark.createDataFrame([(i, j, float(centre[i, j])) for i in range(size) for j in range(size)], "i long, j long, x double")
+    kind = dict(features.dtypes)["k"]
+    return structure, spark.createDataFrame([(i, k, float(y[i, n])) for i in range(size) for n, k in enumerate(ks)], f"v long, k {kind}, x double")
+
+
 def barycenter(graphs: DataFrame, size: int, iterations: int = 5, beta: float = 0.1, seed: int = 0, kl: bool = False) -> DataFrame:
     """(i, j, x): the barycenter of graphs (g, i, j, x) on ``size`` nodes of even mass. In each round the graphs' plans are one task each; the new centre is one join over all of them."""
     rng = np.random.default_rng(seed)
@@ -237,11 +434,145 @@ def partition(graph: DataFrame, clusters: int, beta: float = 0.1, outer: int = 3
     return cluster_assignment(plan, pt)
 
 
-def update_distribution(theta: DataFrame, g: DataFrame, rate: float) -> tuple[DataFrame, DataFrame]:
-    """(theta, p): one gradient step on the logits of a node distribution, and the distribution (v, x) they give."""
-    new = theta.join(softmax_gradient(theta, g).withColumnRenamed("x", "d"), "v").select("v", (F.col("x") - rate * F.col("d")).alias("x"))
-    p = new.select("v", F.exp("x").alias("e"))
-    return new, p.select("v", (F.col("e") / F.sum("e").over(W.partitionBy())).alias("x"))
+def update_distribution(theta: DataFrame, p: DataFrame, a: DataFrame, beta: float, rate: float, weight: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """(theta, p): one step on the logits of a node distribution, and the distribution (v, x) they give.
+
+    The gradient is beta * log a - weight * (log p + 1) through the softmax, a being Sinkhorn's
+    scaling of these nodes; less its mean and over its norm.
+    """
+    g = a.select("v", (beta * F.log("x")).alias("l")).join(p.withColumnRenamed("x", "p"), "v").select("v", (F.col("l") - weight * (F.log("p") + 1)).alias("x"))
+    d = softmax_gradient(theta, g)
+    d = d.crossJoin(F.broadcast(d.agg(F.avg("x").alias("m")))).select("v", (F.col("x") - F.col("m")).alias("x"))  # one row is sent
+    d = d.crossJoin(F.broadcast(d.agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("s")))).select("v", (F.col("x") / (F.col("s") + 1e-10)).alias("d"))  # one row is sent
+    new = theta.join(d, "v").select("v", (F.col("x") - rate * F.col("d")).alias("x"))
+    e = new.select("v", F.exp("x").alias("e"))
+    return new, e.crossJoin(F.broadcast(e.agg(F.sum("e").alias("s")))).select("v", (F.col("e") / F.col("s")).alias("x"))  # one row is sent
+
+
+def proximal_clouds(source: DataFrame, target: DataFrame, eps: float, rate: float, m: int = 16, beta: float = 0.2, outer: int = 10, inner: int = 2, seed: int = 0) -> tuple[DataFrame, float]:
+    """(plan (i, j, x), cost): the proximal point method between two clouds (v, pos) of even mass, the costs being diffusion kernels of random features.
+
+    The plan is kept as strips of STRIP rows over all target points, and a step is three kinds of
+    passes over the strips, none of which moves them: B' T (m numbers for each target point),
+    the new kernel, and column sums. Costs are applied through the features, so no other matrix
+    is made. What each task needs of the target, and what passes give back, is a number or m for
+    each target point; TARGET_MOST bounds them.
+    """
+    from .blocks import places
+
+    spark = source.sparkSession
+    if target.count() > TARGET_MOST:
+        raise ValueError(f"a target has at most {TARGET_MOST} points; exchange source and target, or split")
+    rows = target.select("v", "pos").orderBy("v").toArrow()
+    tv = rows["v"].to_numpy()
+    c2 = LowRank(np.array(rows["pos"].to_pylist(), float), eps, rate, m, seed)
+    omega = dense.projections(m, len(rows["pos"][0]), seed)
+    ratio = dense.box_transform(omega, eps) / dense.gaussian_density(omega)
+    n_t, place = len(tv), places(source)
+    n_s = place.count()
+    strips = cut(source.join(place, "v").withColumn("strip", F.floor(F.col("at") / STRIP).cast("int")).groupBy("strip").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "v", "pos"))), lambda e: F.struct(e["v"], e["pos"])).alias("e")).select("strip", F.col("e.v").alias("v"), F.flatten("e.pos").alias("pos")))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)
+
+    from . import integrators
+
+    def factors(batch, n: int):
+        size = len(batch.column(1)[n])
+        return size, integrators.features(np.array(batch.column(2)[n].as_py(), float).reshape(size, -1), omega, ratio)
+
+    def total(df: DataFrame, run, shape: tuple, complex_: bool = True) -> np.ndarray:
+        """The sum over tasks of arrays of this shape, added up pair by pair in tasks."""
+        def parts(batches):
+            out = np.zeros(shape, complex if complex_ else float)
+            for batch in batches:
+                out += run(batch)
+            yield pa.RecordBatch.from_pydict({"part": [0], "x": [out.tobytes()]})
+
+        found = df.mapInArrow(parts, "part long, x binary").collect()  # one array for each task
+        return sum((np.frombuffer(r["x"], complex if complex_ else float).reshape(shape) for r in found), np.zeros(shape))
+
+    def squares(batch):
+        out = np.zeros((3, m, m), complex)
+        for n in range(batch.num_rows):
+            _, (a, b) = factors(batch, n)
+            out += np.stack([b.T @ a, b.T @ b / n_s, b.T @ np.conj(b) / n_s])
+        return out
+
+    ba, plain, mixed = total(strips, squares, (3, m, m))
+    core = integrators.series(rate * ba) * rate
+    const_t = c2.squared(np.full(n_t, 1 / n_t))
+
+    def own(batch, n: int):
+        """A core, B, and the squares' sums of a strip's rows."""
+        size, (a, b) = factors(batch, n)
+        ac = a @ core
+        two = (np.einsum("np,pq,nq->n", ac, plain, ac) + np.einsum("np,pq,nq->n", ac, mixed, np.conj(ac))).real / 2
+        return size, ac, b, two + (1 + 2 * (ac * b).sum(1).real) / n_s
+
+    state = strips.withColumn("k", F.lit(None).cast("binary"))  # no kernel yet: the plan is the product of the masses
+    scale = np.full(n_t, 1 / n_t)  # the column scaling of the kernel
+
+    def plan_of(batch, n: int, size: int, b: np.ndarray) -> np.ndarray:
+        if not batch.column(3)[n].is_valid:
+            return np.full((size, n_t), 1 / (n_s * n_t))
+        k = np.frombuffer(batch.column(3)[n].as_py()).reshape(size, n_t)
+        return (k * b) * (1 / n_s / np.maximum(k @ b, 1e-300))[:, None]
+
+    cost = 0.0
+    for step in range(outer + 1):
+        def gathered(batch, b=scale):
+            out = np.zeros((m, n_t), complex)
+            for n in range(batch.num_rows):
+                size, (_, f) = factors(batch, n)
+                out += f.T @ plan_of(batch, n, size, b)
+            return out
+
+        g = total(state, gathered, (m, n_t))
+
+        def costs(batch, n: int, b, g):
+            size, ac, _, const_s = own(batch, n)
+            plan = plan_of(batch, n, size, b)
+            half = plan + (ac @ g).real
+            return plan, const_s[:, None] + const_t[None] - 2 * (half + ((half @ c2.b) @ c2.a.T).real)
+
+        if step == outer:
+            cost = float(total(state, lambda batch, b=scale, g=g: sum((p * c).sum() for p, c in (costs(batch, n, b, g) for n in range(batch.num_rows))), (1,), False)[0])  # noqa: B023
+            break
+
+        def kernels(batches, b=scale, g=g):
+            for batch in batches:
+                for n in range(batch.num_rows):
+                    plan, c = costs(batch, n, b, g)  # noqa: B023
+                    k = np.exp(-(c - c.min(1, keepdims=True)) / beta) * plan
+                    one = batch.slice(n, 1)
+                    yield pa.RecordBatch.from_arrays([one.column(0), one.column(1), one.column(2), pa.array([k.tobytes()], pa.binary())], names=["strip", "v", "pos", "k"])
+
+        state = cut(state.mapInArrow(kernels, state.schema))
+        b = None
+        for _ in range(inner):
+            def sums(batch, b=b):
+                out = np.zeros(n_t)
+                for n in range(batch.num_rows):
+                    k = np.frombuffer(batch.column(3)[n].as_py()).reshape(-1, n_t)
+                    a = np.full(len(k), 1 / n_s) if b is None else 1 / n_s / np.maximum(k @ b, 1e-300)
+                    out += a @ k
+                return out
+
+            b = 1 / n_t / np.maximum(total(state, sums, (n_t,), False), 1e-300)
+        scale = b
+
+    def rows_of(batches, b=scale):
+        for batch in batches:
+            for n in range(batch.num_rows):
+                v = np.array(batch.column(1)[n].as_py())
+                plan = plan_of(batch, n, len(v), b)
+                i, j = np.nonzero(plan > 1e-14)
+                yield pa.RecordBatch.from_arrays([pa.array(v[i], pa.int64()), pa.array(tv[j], pa.int64()), pa.array(plan[i, j])], names=["i", "j", "x"])
+
+    return state.mapInArrow(rows_of, "i long, j long, x double"), cost
+
+
+#: Rows of a strip of a plan, and points of a target: so a strip takes 205 MB at most, and what each task of a pass gives back 2 m numbers for each target point.
+STRIP, TARGET_MOST = 128, 200_000
 
 
 def recursive_partition(graph: DataFrame, clusters: int = 2, most: int = 8, depth: int = 6, **options) -> DataFrame:
@@ -279,6 +610,52 @@ def multi_partition(graphs: DataFrame, clusters: int, iterations: int = 3, beta:
     return best.select("g", F.col("i").alias("v"), F.col("b.j").alias("cluster"))
 
 
+def recursive_multi_partition(graphs: DataFrame, clusters: int = 2, most: int = 8, depth: int = 6, **options) -> DataFrame:
+    """(g, v, cluster): all graphs split alike over and over, until no graph's part has over ``most`` nodes or a split leaves a graph out; cluster is the path of choices."""
+    every = graphs.select("g", F.col("i").alias("v")).unionByName(graphs.select("g", F.col("j").alias("v"))).distinct()
+    sides = every.select("g").distinct().count()
+    out, todo = None, [("r", cut(every))]
+    for level in range(depth + 1):
+        left = []
+        for name, part in todo:
+            large = part.groupBy("g").count().agg(F.max("count")).first()[0] or 0
+            label = None
+            if large > most and level < depth:
+                end = lambda k: part.select("g", F.col("v").alias(k))  # noqa: B023, E731
+                inside = cut(graphs.join(end("i"), ["g", "i"], "left_semi").join(end("j"), ["g", "j"], "left_semi"))
+                label = cut(multi_partition(inside, clusters, **options))
+                kinds = label.groupBy("cluster").agg(F.countDistinct("g").alias("n")).orderBy("cluster").collect()  # at most ``clusters``
+            if label is None or len(kinds) < 2 or any(r["n"] < sides for r in kinds):
+                row = part.select("g", "v", F.lit(name).alias("cluster"))
+            else:
+                left += [(f"{name}>{r['cluster']}", cut(label.where(F.col("cluster") == r["cluster"]).select("g", "v"))) for r in kinds]
+                row = part.join(label, ["g", "v"], "left_anti").select("g", "v", F.lit(f"{name}>-").alias("cluster"))
+            out = row if out is None else out.unionByName(row)
+        todo = left
+        if not todo:
+            break
+    return out
+
+
+def node_sets(parts: DataFrame) -> DataFrame:
+    """(cluster, g, nodes): the nodes of each graph that a partition (g, v, cluster) puts together."""
+    return parts.groupBy("cluster", "g").agg(F.sort_array(F.collect_list("v")).alias("nodes"))
+
+
+def recursive_indirect_matching(graphs: DataFrame, first: int, second: int, clusters: int = 2, most: int = 8, depth: int = 6, **options) -> DataFrame:
+    """(cluster, i, j): two graphs' nodes, split together with all graphs by recursive_multi_partition() and matched inside each common part, one task for each."""
+    parts = cut(recursive_multi_partition(graphs, clusters, most, depth, **options))
+    side = F.when(F.col("g") == first, 0).otherwise(1)
+    own = parts.where(F.col("g").isin(first, second))
+    common = own.groupBy("cluster").agg(F.countDistinct("g").alias("n")).where("n = 2").select("cluster")
+    own = cut(own.join(common, "cluster"))
+    every = own.select("g", "cluster", F.col("v").alias("i")).join(own.select("g", "cluster", F.col("v").alias("j")), ["g", "cluster"])  # parts are of bounded size
+    cells = every.join(graphs, ["g", "i", "j"], "left").select(F.xxhash64("cluster").alias("pair"), "cluster", side.alias("side"), "i", "j", F.coalesce("x", F.lit(0.0)).alias("x"), F.lit(0).alias("label"))
+    plans = compare(cells.drop("cluster"), 1.0).select(F.col("pair").alias("g"), "i", "j", F.round("x", 12).alias("x"))
+    names = common.select("cluster", F.xxhash64("cluster").alias("g"))
+    return greedy_matching(plans).join(names, "g").select("cluster", "i", "j")
+
+
 def to_barycenter(graphs: DataFrame, size: int, iterations: int = 3, beta: float = 0.1) -> DataFrame:
     """(g, i, j, x): each graph's plan onto the barycenter of all."""
     centre = barycenter(graphs, size, iterations, beta)

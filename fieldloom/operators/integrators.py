@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import dense
@@ -29,6 +31,10 @@ class Materialised:
     def integrate(self, field: DataFrame) -> DataFrame:
         return la.matvec(self.kernel, field)
 
+    def squared(self) -> Materialised:
+        """The integrator of the kernel's squared entries."""
+        return Materialised(self.kernel.withColumn("x", F.col("x") * F.col("x")))
+
 
 class BruteForce(Materialised):
     """A function of shortest-path distance. Distances are computed once; ``with_kernel`` reuses them. Unreachable pairs add nothing."""
@@ -41,62 +47,98 @@ class BruteForce(Materialised):
         return BruteForce(None, kernel, self.distances)
 
 
+def taylor_plan(norm: float, tolerance: float = 1e-13, most: int = 40) -> tuple[int, int]:
+    """(steps, terms) with the fewest products such that each exp(A / steps) by its series is within ``tolerance`` of its bound, for a matrix of this norm."""
+    best = None
+    for steps in range(max(1, math.ceil(norm / 12)), max(2, math.ceil(norm) + 2)):
+        x, term, terms = norm / steps, 1.0, 0
+        while terms < most and (term > tolerance * math.exp(-x) or terms < x):
+            terms += 1
+            term *= x / terms
+        if term <= tolerance * math.exp(-x) and (best is None or steps * terms < best[0] * best[1]):
+            best = steps, max(1, terms)
+    return best
+
+
 class TaylorDiffusion:
-    """exp(rate * A) applied to fields by ``terms`` products; the exponential itself is never made."""
+    """exp(rate * A) applied to fields by products; the exponential itself is never made.
+
+    Without ``terms`` the number of products follows from the matrix's largest row sum, so the
+    result is exact to rounding for any norm: the field goes through exp(rate * A / steps) steps times.
+    """
 
-    def __init__(self, matrix: DataFrame, rate: float, terms: int = 12):
-        self.step, self.terms = cut(la.scale(matrix, rate)), terms
+    def __init__(self, matrix: DataFrame, rate: float, terms: int | None = None):
+        self.steps, self.terms = 1, terms
+        if terms is None:
+            norm = matrix.groupBy("i").agg(F.sum(F.abs("x")).alias("s")).agg(F.max("s")).first()[0] or 0.0
+            self.steps, self.terms = taylor_plan(abs(rate) * norm)
+        self.step = cut(la.scale(matrix, rate / self.steps))
 
     def integrate(self, field: DataFrame) -> DataFrame:
-        out = term = field.select("v", "k", "x")
-        for n in range(1, self.terms + 1):
-            term = la.matvec(self.step, term).withColumn("x", F.col("x") / n)
-            if n % 4 == 0:
-                term = cut(term)
-            out = out.unionByName(term)
-        return out.groupBy("v", "k").agg(F.sum("x").alias("x"))
+        out = field.select("v", "k", "x")
+        for _ in range(self.steps):
+            sums = term = out
+            for n in range(1, self.terms + 1):
+                term = la.matvec(self.step, term).withColumn("x", F.col("x") / n)
+                if n % 4 == 0:
+                    term = cut(term)
+                sums = sums.unionByName(term)
+            out = sums.groupBy("v", "k").agg(F.sum("x").alias("x"))
+            out = cut(out) if self.steps > 1 else out
+        return out
+
+
+def threshold_diffusion(distances: DataFrame, rate: float, bound: float = 1.0) -> TaylorDiffusion:
+    """exp(rate * A) with A the 0/1 matrix of pairs (i, j, x) at most ``bound`` apart, a vertex and itself included."""
+    return TaylorDiffusion(distances.where(F.col("x") <= bound).select("i", "j", F.lit(1.0).alias("x")), rate)
 
 
 class LanczosDiffusion:
-    """exp(sign * A) of a symmetric matrix in a Krylov space, one field column at a time; only k x k numbers are on the driver."""
+    """exp(sign * A) of a symmetric matrix in a Krylov space of k dimensions for each field column, all columns in the same joins.
+
+    The space's basis is one table (n, v, k, x); each step is a product, two rounds of taking out what
+    the basis holds already, and a norm for each column. Only k x k numbers of each column are on the driver.
+    """
 
     def __init__(self, matrix: DataFrame, k: int = 8, sign: float = -1.0):
         self.matrix, self.k, self.sign = cut(matrix), k, sign
 
     def integrate(self, field: DataFrame) -> DataFrame:
-        out = None
-        for (column,) in field.select("k").distinct().orderBy("k").collect():
-            f = cut(field.where(F.col("k") == column).select("v", F.lit(0).alias("k"), "x"))
-            size = f.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0] or 0.0
-            if size == 0:
-                part = f
-            else:
-                basis, alpha, beta = [f.withColumn("x", F.col("x") / size)], [], []
-                for n in range(self.k):
-                    w = cut(la.matvec(self.matrix, basis[-1]))
-                    for b in basis:
-                        both = w.withColumnRenamed("x", "w").join(b.withColumnRenamed("x", "b"), ["v", "k"], "full").fillna(0.0, ["w", "b"])
-                        c = both.agg(F.sum(F.col("w") * F.col("b"))).first()[0] or 0.0
-                        if b is basis[-1]:
-                            alpha.append(c)
-                        w = cut(both.select("v", "k", (F.col("w") - c * F.col("b")).alias("x")))
-                    norm = w.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0] or 0.0
-                    if norm < 1e-12 or n == self.k - 1:
-                        break
-                    beta.append(norm)
-                    basis.append(w.withColumn("x", F.col("x") / norm))
-                n = len(alpha)
-                t = np.diag(alpha) + np.diag(beta[: n - 1], 1) + np.diag(beta[: n - 1], -1)
-                values, vectors = np.linalg.eigh(t)
-                weights = size * (vectors @ (np.exp(self.sign * values) * vectors[0]))
-                part = None
-                for b, weight in zip(basis[:n], weights, strict=True):
-                    scaled = b.withColumn("x", F.col("x") * float(weight))
-                    part = scaled if part is None else part.unionByName(scaled)
-                part = part.groupBy("v", "k").agg(F.sum("x").alias("x"))
-            part = part.select("v", F.lit(column).alias("k"), "x")
-            out = part if out is None else out.unionByName(part)
-        return out
+        spark = self.matrix.sparkSession
+        kind = dict(field.dtypes)["k"]
+        size = {r["k"]: r["s"] for r in field.groupBy("k").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("s")).collect() if r["s"]}
+        alpha, beta = {c: [] for c in size}, {c: [] for c in size}
+        table = lambda values: F.broadcast(spark.createDataFrame([(c, float(x)) for c, x in values.items()], f"k {kind}, by double"))  # one row for each field column
+        scaled = lambda f, values: f.join(table(values), "k").select("v", "k", (F.col("x") / F.col("by")).alias("x"))
+        last = cut(scaled(field, size)) if size else field.limit(0)
+        basis, open_ = last.withColumn("n", F.lit(0)), dict(size)
+        for n in range(self.k if size else 0):
+            w = cut(la.matvec(self.matrix, last))
+            dot = w.join(last.withColumnRenamed("x", "b"), ["v", "k"]).groupBy("k").agg(F.sum(F.col("x") * F.col("b")).alias("s"))
+            found = {r["k"]: r["s"] for r in dot.collect()}
+            for c in open_:
+                alpha[c].append(found.get(c, 0.0))
+            if n == self.k - 1:
+                break
+            for _ in range(2):
+                parts = w.join(basis.withColumnRenamed("x", "b"), ["v", "k"]).groupBy("k", "n").agg(F.sum(F.col("x") * F.col("b")).alias("c"))
+                away = basis.join(parts, ["k", "n"]).select("v", "k", (-F.col("x") * F.col("c")).alias("x"))
+                w = cut(w.unionByName(away).groupBy("v", "k").agg(F.sum("x").alias("x")))
+            norm = {r["k"]: r["s"] for r in w.groupBy("k").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("s")).collect()}
+            open_ = {c: norm[c] for c in open_ if norm.get(c, 0.0) > 1e-12 * max(1.0, abs(alpha[c][0]))}
+            if not open_:
+                break
+            for c, x in open_.items():
+                beta[c].append(x)
+            last = cut(scaled(w, open_))
+            basis = cut(basis.unionByName(last.withColumn("n", F.lit(n + 1))))
+        weights = []
+        for c, length in size.items():
+            a, b = alpha[c], beta[c][: len(alpha[c]) - 1]
+            values, vectors = np.linalg.eigh(np.diag(a) + np.diag(b, 1) + np.diag(b, -1))
+            weights += [(c, n, float(x)) for n, x in enumerate(length * (vectors @ (np.exp(self.sign * values) * vectors[0])))]
+        by = F.broadcast(spark.createDataFrame(weights, f"k {kind}, n int, by double"))  # self.k rows for each field column
+        return basis.join(by, ["k", "n"]).groupBy("v", "k").agg(F.sum(F.col("x") * F.col("by")).alias("x"))
 
 
 class RandomFeatureDiffusion:
@@ -113,38 +155,105 @@ class RandomFeatureDiffusion:
         self.ratio = dense.box_transform(self.omega, eps) / dense.gaussian_density(self.omega)
         self.points, self.rate, self.one_sided = points, rate, one_sided
 
-    def integrate(self, field: DataFrame) -> DataFrame:
+    def _passes(self, rows: DataFrame, d: int, mine) -> np.ndarray:
+        """The sums over all points of b' [a, f] (m x (m + d) numbers), from (v, pos, f) rows."""
+        m = len(self.omega)
+
+        def sums(batches):
+            total = np.zeros((m, m + d), complex)
+            for batch in batches:
+                a, b, f = mine(batch)
+                total += b.T @ np.concatenate([a, f], 1)
+            flat = total.ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat.real.copy()), pa.array(flat.imag.copy())], names=["at", "re", "im"])
+
+        small = rows.mapInArrow(sums, "at long, re double, im double").groupBy("at").agg(F.sum("re").alias("re"), F.sum("im").alias("im")).toPandas().sort_values("at")
+        return (small["re"] + 1j * small["im"]).to_numpy().reshape(m, m + d)
+
+    def _wide(self, field: DataFrame) -> tuple[DataFrame, list, object]:
+        """(v, pos, ks, xs) with the entries of each point, the field's columns, and what makes factors and fields of a batch."""
         columns = [r[0] for r in field.select("k").distinct().orderBy("k").collect()]
-        wide = field.groupBy("v").agg(F.map_from_entries(F.collect_list(F.struct("k", "x"))).alias("f"))
-        rows = self.points.select("v", "pos").join(wide, "v", "left")
-        omega, ratio, one_sided = self.omega, self.ratio, self.one_sided
-        m, d = len(omega), len(columns)
-
-        def unpack(batch: pd.DataFrame):
-            pos = np.array(batch["pos"].tolist(), float).reshape(len(batch), -1)
-            f = np.array([[(x or {}).get(c, 0.0) for c in columns] for x in batch["f"].map(lambda x: dict(x) if x is not None else None)], float).reshape(len(batch), d)
+        entries = field.groupBy("v").agg(F.collect_list(F.struct("k", "x")).alias("e"))  # one row for each point
+        rows = self.points.select("v", "pos").join(entries, "v", "left").select("v", "pos", F.col("e.k").alias("ks"), F.col("e.x").alias("xs"))
+        omega, ratio, one_sided, d, known = self.omega, self.ratio, self.one_sided, len(columns), np.array(columns)
+
+        def mine(batch: pa.RecordBatch):
+            n = batch.num_rows
+            pos = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+            many = pc.fill_null(pc.list_value_length(batch.column(2)), 0).to_numpy(zero_copy_only=False)
+            f = np.zeros((n, d))
+            f[np.repeat(np.arange(n), many), np.searchsorted(known, batch.column(2).flatten().to_numpy(zero_copy_only=False))] = batch.column(3).flatten().to_numpy(zero_copy_only=False)
             return *features(pos, omega, ratio, one_sided), f
 
+        return rows, columns, mine
+
+    def _core(self, ba: np.ndarray) -> np.ndarray:
+        return series(self.rate * ba) * self.rate  # (BA)^-1 (exp(rate BA) - I) without an inverse
+
+    def integrate(self, field: DataFrame) -> DataFrame:
+        rows, columns, mine = self._wide(field)
+        if not columns:
+            return field.select("v", "k", "x")
+        m, d, kind = len(self.omega), len(columns), dict(field.dtypes)["k"]
+        both = self._passes(rows, d, mine)
+        core = self._core(both[:, :m]) @ both[:, m:]
+        names = pa.array(columns, {"int": pa.int32(), "bigint": pa.int64()}.get(kind))
+
+        def apply(batches):
+            for batch in batches:
+                a, _, f = mine(batch)
+                n = batch.num_rows
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(n), d))), names.take(pa.array(np.tile(np.arange(d), n))), pa.array((f + a @ core).real.ravel().copy())], names=["v", "k", "x"])
+
+        return rows.mapInArrow(apply, f"v long, k {kind}, x double")
+
+    def squared(self) -> SquaredFeatures:
+        """The integrator of the kernel's squared entries: m * m products of features in place of m."""
+        return SquaredFeatures(self)
+
+
+class SquaredFeatures:
+    """(K o K) F for K = I + A C B' of random features, whose imaginary part is rounding: K_ij^2 = [i = j] (1 + 2 (A C B')_ii) + (A C B')_ij^2.
+
+    The square of a low-rank entry is a product of m * m features of each end, so again one
+    aggregate and one pass over the points give the result; no pair of points is met.
+    """
+
+    def __init__(self, base: RandomFeatureDiffusion):
+        self.base = base
+
+    def integrate(self, field: DataFrame) -> DataFrame:
+        base = self.base
+        rows, columns, mine = base._wide(field)
+        if not columns:
+            return field.select("v", "k", "x")
+        m, d, kind = len(base.omega), len(columns), dict(field.dtypes)["k"]
+        core = base._core(base._passes(rows, d, mine)[:, :m])
+
         def sums(batches):
-            ba, bf = np.zeros((m, m), complex), np.zeros((m, d), complex)
+            # the real part of a product is what counts: x^2 of real x = (z^2 + z conj(z)).real / 2
+            plain, mixed = np.zeros((m * m, d), complex), np.zeros((m * m, d), complex)
             for batch in batches:
-                a, b, f = unpack(batch)
-                ba, bf = ba + b.T @ a, bf + b.T @ f
-            both = np.concatenate([ba, bf], 1).ravel()
-            yield pd.DataFrame({"at": np.arange(len(both)), "re": both.real, "im": both.imag})
+                _, b, f = mine(batch)
+                plain += np.einsum("np,nq,nd->pqd", b, b, f).reshape(m * m, d)
+                mixed += np.einsum("np,nq,nd->pqd", b, np.conj(b), f).reshape(m * m, d)
+            flat = np.concatenate([plain, mixed]).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat.real.copy()), pa.array(flat.imag.copy())], names=["at", "re", "im"])
 
-        small = rows.mapInPandas(sums, "at long, re double, im double").groupBy("at").agg(F.sum("re").alias("re"), F.sum("im").alias("im")).toPandas().sort_values("at")
-        both = (small["re"] + 1j * small["im"]).to_numpy().reshape(m, m + d)
-        ba, bf = both[:, :m], both[:, m:]
-        core = series(self.rate * ba) @ bf * self.rate  # (BA)^-1 (exp(rate BA) - I) without an inverse
+        small = rows.mapInArrow(sums, "at long, re double, im double").groupBy("at").agg(F.sum("re").alias("re"), F.sum("im").alias("im")).toPandas().sort_values("at")
+        plain, mixed = (small["re"] + 1j * small["im"]).to_numpy().reshape(2, m * m, d)
+        names = pa.array(columns, {"int": pa.int32(), "bigint": pa.int64()}.get(kind))
 
         def apply(batches):
             for batch in batches:
-                a, _, f = unpack(batch)
-                out = (f + a @ core).real
-                yield pd.DataFrame({"v": np.repeat(batch["v"].to_numpy(), d), "k": np.tile(columns, len(batch)), "x": out.ravel()})
+                a, b, f = mine(batch)
+                ac, n = a @ core, batch.num_rows
+                here = (ac * b).sum(1).real
+                two = (np.einsum("np,nq->npq", ac, ac).reshape(n, m * m) @ plain + np.einsum("np,nq->npq", ac, np.conj(ac)).reshape(n, m * m) @ mixed).real / 2
+                out = two + (1 + 2 * here)[:, None] * f
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(n), d))), names.take(pa.array(np.tile(np.arange(d), n))), pa.array(out.ravel().copy())], names=["v", "k", "x"])
 
-        return rows.mapInPandas(apply, "v long, k int, x double")
+        return rows.mapInArrow(apply, f"v long, k {kind}, x double")
 
 
 def features(pos: np.ndarray, omega: np.ndarray, ratio: np.ndarray, one_sided: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -159,7 +268,7 @@ def series(x: np.ndarray) -> np.ndarray:
     return dense.expm(np.block([[x, np.eye(n)], [np.zeros((n, 2 * n))]]))[:n, n:]
 
 
-def epsilon_diffusion(edges: DataFrame, rate: float, terms: int = 12) -> TaylorDiffusion:
+def epsilon_diffusion(edges: DataFrame, rate: float, terms: int | None = None) -> TaylorDiffusion:
     """exp(rate * A) with A the distances of an epsilon-graph."""
     return TaylorDiffusion(edges.select(F.col("src").alias("i"), F.col("dst").alias("j"), F.col("w").alias("x")), rate, terms)
 
@@ -184,22 +293,31 @@ class Separator:
     The separator's vertices are split between the sides by their ids' parity of rank. Across, a
     vertex at slice l (distance to the separator // unit) meets one at slice r by
     kernel((l + r + shift) * unit), so only slices are joined, not vertices. Sides are solved by
-    brute force on their induced graphs. Any kernel of distance will do.
+    brute force on their induced graphs. Any kernel of distance will do. ``clustering`` gives the
+    slice of a distance column, in place of distance // unit.
     """
 
-    def __init__(self, edges: DataFrame, parts: DataFrame, kernel, unit: float = 1.0, shift: float = 0.0):
+    def __init__(self, edges: DataFrame, parts: DataFrame, kernel, unit: float = 1.0, shift: float = 0.0, clustering=None):
         from pyspark.sql import Window as W
 
         from .graphs import induced
 
+        clustering = clustering or (lambda d: F.floor(d / unit))
+        self.args = edges, parts, unit, shift, clustering
+
         half = parts.where("part = 2").withColumn("side", (F.row_number().over(W.orderBy("v")) % 2).cast("int"))
         side = cut(parts.where("part <> 2").select("v", F.col("part").alias("side")).unionByName(half.select("v", "side")))
         distance = multi_source(edges, parts.where("part = 2").select("v"))
-        self.slices = cut(distance.join(side, "v").select("v", "side", F.floor(F.col("d") / unit).cast("long").alias("slice")))
+        self.slices = cut(distance.join(side, "v").select("v", "side", clustering(F.col("d")).cast("long").alias("slice")))
         self.kernel, self.unit, self.shift = kernel, unit, shift
         self.inside = [BruteForce(induced(edges, side.where(F.col("side") == s)), kernel) for s in (0, 1)]
         self.side = side
 
+    def squared(self) -> Separator:
+        """The integrator of the kernel's squares, which is a kernel of distance too."""
+        edges, parts, unit, shift, clustering = self.args
+        return Separator(edges, parts, lambda d: self.kernel(d) * self.kernel(d), unit, shift, clustering)
+
     def integrate(self, field: DataFrame) -> DataFrame:
         own = [i.integrate(field.join(self.side.where(F.col("side") == s).select("v"), "v", "left_semi")) for s, i in enumerate(self.inside)]
         sums = field.join(self.slices, "v").groupBy("side", "slice", "k").agg(F.sum("x").alias("f"))
@@ -216,5 +334,14 @@ def square_matvec(kernel: DataFrame, p: DataFrame) -> DataFrame:
     return kernel.join(p.select(F.col("v").alias("j"), F.col("x").alias("p")), "j").groupBy(F.col("i").alias("v")).agg(F.sum(F.col("x") * F.col("x") * F.col("p")).alias("x"))
 
 
+def square_integrate(integrator, p: DataFrame) -> DataFrame:
+    """(v, x): (K o K) p through the integrator alone. One that has ``squared()`` is used so; any other one integrates a column for each vertex: diag(K diag(p) K')."""
+    if hasattr(integrator, "squared"):
+        return integrator.squared().integrate(p.select("v", F.lit(0).alias("k"), "x")).select("v", "x")
+    first = integrator.integrate(p.select("v", F.col("v").alias("k"), "x"))
+    second = integrator.integrate(first.select(F.col("k").alias("v"), F.col("v").alias("k"), "x"))
+    return second.where("v = k").select("v", "x")
+
+
 def constant_field(vertices: DataFrame, value: Column | float = 1.0, k: int = 0) -> DataFrame:
     return vertices.select("v", F.lit(k).alias("k"), (value if isinstance(value, Column) else F.lit(float(value))).alias("x"))

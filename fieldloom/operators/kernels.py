@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from . import blocks
 from . import linalg as la
+from .graphs import pairwise
 from .stage import cut
 
 
@@ -36,31 +38,41 @@ def random_walk_with_restart(a: DataFrame, alpha: float, terms: int = 60) -> Dat
     return la.scale(out, alpha)
 
 
+def _dense_rows(m: DataFrame, vertices: DataFrame) -> DataFrame:
+    """(v, pos): each row as an array over all vertices in order."""
+    every = vertices.select(F.col("v").alias("i")).crossJoin(vertices.select(F.col("v").alias("j")))  # as many rows as the matrix has entries
+    cells = every.join(m, ["i", "j"], "left").select("i", F.struct("j", F.coalesce("x", F.lit(0.0)).alias("x")).alias("e"))
+    return cells.groupBy(F.col("i").alias("v")).agg(F.transform(F.sort_array(F.collect_list("e")), lambda e: e["x"]).alias("pos"))
+
+
 def diffusion_state_distance(a: DataFrame, steps: int) -> DataFrame:
-    """(i, j, x), i <> j: L1 distance between rows of I + P + ... + P ** steps, P row-stochastic."""
-    p, eye = cut(la.row_stochastic(a)), cut(la.identity(vertices_of(a)))
-    c = eye
-    for _ in range(steps):
-        c = la.add(eye, la.matmul(c, p))
-    rows = cut(c.groupBy("i").agg(F.map_from_entries(F.collect_list(F.struct("j", "x"))).alias("row")))
-    other = rows.select(F.col("i").alias("j"), F.col("row").alias("row2"))
-    at = lambda m, k: F.coalesce(F.element_at(m, k), F.lit(0.0))
-    keys = F.array_union(F.map_keys("row"), F.map_keys("row2"))
-    gap = F.aggregate(keys, F.lit(0.0), lambda s, k: s + F.abs(at(F.col("row"), k) - at(F.col("row2"), k)))
-    return rows.join(other, F.col("i") != F.col("j")).select("i", "j", gap.alias("x"))
-
-
-def heat(a: DataFrame, t: float, terms: int = 20, laplacian_scale: float = 1.0) -> DataFrame:
-    """exp(-t (D - A)) by its Taylor series with ``terms`` terms; D holds column sums. ``laplacian_scale`` divides D - A first."""
+    """(i, j, x), i <> j: L1 distance between rows of I + P + ... + P ** steps, P row-stochastic. With steps < 0, of the limit.
+
+    The limit is that of (I - P + 1 pi)^-1, pi the stationary shares of strength: rows of the
+    sums differ by rows of this inverse as the steps go on.
+    """
+    vertices = cut(vertices_of(a))
+    if steps >= 0:
+        p, eye = cut(la.row_stochastic(a)), cut(la.identity(vertices))
+        c = eye
+        for _ in range(steps):
+            c = la.add(eye, la.matmul(c, p))
+    else:
+        at, n = blocks.places(vertices), vertices.count()
+        sums = la.row_sums(a)
+        share = sums.crossJoin(F.broadcast(sums.agg(F.sum("x").alias("s")))).select(F.col("v").alias("j"), (F.col("x") / F.col("s")).alias("x"))  # one row is sent
+        pi = vertices.select(F.col("v").alias("i")).crossJoin(share)  # as many rows as the inverse has entries
+        c = blocks.to_entries(blocks.inverse(blocks.from_entries(la.add(la.identity(vertices), la.scale(la.row_stochastic(a), -1.0), pi), at), n), at)
+    return pairwise(cut(_dense_rows(c, vertices)), "cityblock")
+
+
+def heat(a: DataFrame, t: float) -> DataFrame:
+    """exp(-t (D - A)), D the column sums, for any t and any weights: in blocks, by scaling and squaring."""
+    vertices = cut(vertices_of(a))
     d = la.col_sums(a).select(F.col("v").alias("i"), F.col("v").alias("j"), "x")
-    step = cut(la.scale(la.add(d, la.scale(a, -1.0)), -t / laplacian_scale))
-    eye = cut(la.identity(vertices_of(a)))
-    out = eye
-    for n in range(terms, 0, -1):
-        out = la.add(eye, la.scale(la.matmul(step, out), 1.0 / n))
-        if n % 8 == 0:
-            out = cut(out)
-    return out
+    at = blocks.places(vertices)
+    step = blocks.from_entries(la.scale(la.add(d, la.scale(a, -1.0)), -t), at)
+    return blocks.to_entries(blocks.expm(step, vertices.count()), at)
 
 
 def interconnectedness(a: DataFrame) -> DataFrame:
@@ -74,23 +86,57 @@ def interconnectedness(a: DataFrame) -> DataFrame:
 KERNELS = {"rw": random_walk, "rwr": random_walk_with_restart, "dsd": diffusion_state_distance, "hk": heat, "icn": lambda a, _=None: interconnectedness(a)}
 
 
-def by_name(a: DataFrame, kid: str) -> DataFrame:
-    """A kernel by its id: rw_2, rwr_0.3, dsd_3, hk_0.7, icn."""
+def parse(kid: str) -> tuple[str, float | int | None]:
+    """A kernel id's name and parameter."""
     name, _, value = kid.partition("_")
     if name not in KERNELS:
         raise ValueError(f"unknown kernel {kid}; known: {', '.join(KERNELS)}")
-    return KERNELS[name](a, int(value) if name in ("rw", "dsd") else float(value or 0))
+    return name, None if name == "icn" else int(value) if name in ("rw", "dsd") else float(value or 0)
+
+
+def by_name(a: DataFrame, kid: str) -> DataFrame:
+    """A kernel by its id: rw_2, rwr_0.3, dsd_3 (dsd_-1 for the limit), hk_0.7, icn."""
+    name, value = parse(kid)
+    return KERNELS[name](a, value)
 
 
 # ---- projections -------------------------------------------------------------------------
 
 
-def project(kernel: DataFrame, seeds: DataFrame, vertices: DataFrame, norm: bool = False) -> DataFrame:
-    """(set_id, v, x): the kernel times each seed set's 0/1 vector, over all vertices. ``seeds`` has (set_id, v); all sets share one join."""
+def project(kernel: DataFrame, seeds: DataFrame, vertices: DataFrame, norm: bool = False, targets: DataFrame | None = None) -> DataFrame:
+    """(set_id, v, x): the kernel times each seed set's 0/1 vector, over all vertices. ``seeds`` has (set_id, v); all sets share one join. ``targets`` (v) keeps their rows, after norming."""
     sums = kernel.join(seeds.select("set_id", F.col("v").alias("j")).distinct(), "j").groupBy("set_id", F.col("i").alias("v")).agg(F.sum("x").alias("x"))
     every = seeds.select("set_id").distinct().crossJoin(vertices.select("v"))  # the result's own rows
     out = every.join(sums, ["set_id", "v"], "left").select("set_id", "v", F.coalesce("x", F.lit(0.0)).alias("x"))
-    return normalised(out) if norm else out
+    out = normalised(out) if norm else out
+    return out if targets is None else restricted(out, targets)
+
+
+def restricted(p: DataFrame, targets: DataFrame) -> DataFrame:
+    """The rows of some vertices (v)."""
+    return p.join(targets.select("v").distinct(), "v", "left_semi").select(p.columns)
+
+
+def over_random_seeds(kernel: DataFrame, p: DataFrame, samples: DataFrame, vertices: DataFrame, formula: str = "zscore") -> DataFrame:
+    """How far projections stand out from those of random seed sets (set_id, v): ``zscore`` or ``onetail``."""
+    drawn = cut(project(kernel, samples, vertices))
+    if formula == "zscore":
+        return zscore(p, statistics(drawn))
+    if formula == "onetail":
+        return one_tailed(p, drawn)
+    raise ValueError(f"unknown formula {formula}; known: zscore, onetail")
+
+
+def over_random_graphs(p: DataFrame, seeds: DataFrame, stats: DataFrame, variances: bool = False) -> DataFrame:
+    """(set_id, v, x): projections less their mean over random graphs, over their spread. ``stats`` is (i, j, mean, std) of the kernel, as rewired_statistics() gives it.
+
+    The spread is the root of the seeds' summed deviations, which is what scores computed so far
+    were divided by; with ``variances`` it is the root of summed squares, that of independent entries.
+    """
+    s = seeds.select("set_id", F.col("v").alias("j")).distinct()
+    part = F.col("std") * F.col("std") if variances else F.col("std")
+    both = stats.join(s, "j").groupBy("set_id", F.col("i").alias("v")).agg(F.sum("mean").alias("mean"), F.sqrt(F.sum(part)).alias("std"))
+    return p.join(both, ["set_id", "v"]).select("set_id", "v", ((F.col("x") - F.col("mean")) / F.when(F.col("std") != 0, F.col("std"))).alias("x"))
 
 
 def normalised(p: DataFrame) -> DataFrame:
@@ -121,8 +167,9 @@ def one_tailed(p: DataFrame, samples: DataFrame) -> DataFrame:
     return both.groupBy("set_id", "v").agg(F.avg((F.col("x") > F.col("s")).cast("double")).alias("x"))
 
 
-def ranking(p: DataFrame, ascending: bool = False) -> DataFrame:
-    """(set_id, v, rank) from 1; ties by vertex."""
+def ranking(p: DataFrame, ascending: bool = False, candidates: DataFrame | None = None) -> DataFrame:
+    """(set_id, v, rank) from 1, among ``candidates`` (v) if given; ties by vertex."""
+    p = p if candidates is None else restricted(p, candidates)
     order = F.col("x").asc() if ascending else F.col("x").desc()
     return p.select("set_id", "v", F.row_number().over(W.partitionBy("set_id").orderBy(order, "v")).cast("long").alias("rank"))
 

@@ -7,11 +7,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.columns import dot, euclidean
+from . import linalg as la
+from .stage import cut
 
 
 def faces_to_edges(faces: DataFrame) -> DataFrame:
-    """(src, dst): both directions of every side of a face, once."""
-    sides = faces.select(F.explode(F.array(*[F.struct(F.col(a).alias("a"), F.col(b).alias("b")) for a, b in (("v0", "v1"), ("v1", "v2"), ("v2", "v0"))])).alias("e"))
+    """(src, dst): both directions of every side of a face, once. Faces have three corners v0..v2, or four, v0..v3, in order round them."""
+    corners = [c for c in ("v0", "v1", "v2", "v3") if c in faces.columns]
+    sides = faces.select(F.explode(F.array(*[F.struct(F.col(a).alias("a"), F.col(b).alias("b")) for a, b in zip(corners, corners[1:] + corners[:1], strict=True)])).alias("e"))
     one = sides.select(F.least("e.a", "e.b").alias("src"), F.greatest("e.a", "e.b").alias("dst")).distinct()
     return one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
@@ -76,8 +79,17 @@ def ordered_neighbours(faces: DataFrame) -> DataFrame:
     return corner.groupBy("v").applyInPandas(one, "v long, adj array<long>")
 
 
-def heat(laplacian: DataFrame, areas: DataFrame, field: DataFrame, t: float, steps: int = 1) -> DataFrame:
-    """(v, k, x): implicit heat steps (diag(a) + t / steps * L) x = a * x, solved in one task (a mesh's matrix is sparse but its factor is not)."""
+#: Vertices of a mesh that one task solves with a dense matrix (32 MB). Larger meshes take conjugate gradients by joins.
+ONE_TASK = 2048
+
+
+def heat(laplacian: DataFrame, areas: DataFrame, field: DataFrame, t: float, steps: int = 1, one_task: int = ONE_TASK) -> DataFrame:
+    """(v, k, x): implicit heat steps (diag(a) + t / steps * L) x = a * x."""
+    if areas.count() > one_task:
+        matrix = cut(la.add(areas.select(F.col("v").alias("i"), F.col("v").alias("j"), F.col("a").alias("x")), la.scale(laplacian, t / steps)))
+        for _ in range(steps):
+            field = conjugate_gradients(matrix, field.join(areas, "v").select("v", "k", (F.col("x") * F.col("a")).alias("x")))
+        return field
     rows = laplacian.select(F.lit(0).alias("kind"), "i", "j", "x")
     rows = rows.unionByName(areas.select(F.lit(1).alias("kind"), F.col("v").alias("i"), F.lit(0).cast("long").alias("j"), F.col("a").alias("x")))
     rows = rows.unionByName(field.select(F.lit(2).alias("kind"), F.col("v").alias("i"), F.col("k").cast("long").alias("j"), "x"))
@@ -91,14 +103,53 @@ def heat(laplacian: DataFrame, areas: DataFrame, field: DataFrame, t: float, ste
         ks = np.unique(at(2)["j"])
         x = np.zeros((len(ids), len(ks)))
         x[np.searchsorted(ids, at(2)["i"]), np.searchsorted(ks, at(2)["j"])] = at(2)["x"]
-        factor = np.linalg.inv(np.diag(a) + t / steps * l)
+        factor = np.linalg.cholesky(np.diag(a) + t / steps * l)
         for _ in range(steps):
-            x = factor @ (a[:, None] * x)
+            x = np.linalg.solve(factor.T, np.linalg.solve(factor, a[:, None] * x))
         return pd.DataFrame({"v": np.repeat(ids, len(ks)), "k": np.tile(ks, len(ids)).astype(np.int32), "x": x.ravel()})
 
     return rows.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(one, "v long, k int, x double")
 
 
+def conjugate_gradients(matrix: DataFrame, right: DataFrame, tolerance: float = 1e-10, most: int = 1000) -> DataFrame:
+    """(v, k, x): the solution of a symmetric positive definite matrix (i, j, x) for each field column, all columns in the same joins, until residuals are ``tolerance`` of the right sides; two numbers of each column are collected in a round."""
+    spark, kind = matrix.sparkSession, dict(right.dtypes)["k"]
+    every = matrix.select(F.col("i").alias("v")).distinct().crossJoin(right.select("k").distinct())  # one row for each vertex and field column
+    state = cut(every.join(right, ["v", "k"], "left").select("v", "k", F.lit(0.0).alias("x"), F.coalesce("x", F.lit(0.0)).alias("r"), F.coalesce("x", F.lit(0.0)).alias("p")))
+    sums = lambda df, c: {r["k"]: r["s"] for r in df.groupBy("k").agg(F.sum(c).alias("s")).collect()}
+    by = lambda values: F.broadcast(spark.createDataFrame([(k, float(x)) for k, x in values.items()], f"k {kind}, by double"))  # one row for each field column
+    rest = sums(state, F.col("r") * F.col("r"))
+    bound = {k: tolerance**2 * x for k, x in rest.items()}
+    for _ in range(most):
+        if all(rest[k] <= bound[k] for k in rest):
+            return state.select("v", "k", "x")
+        ap = la.matvec(matrix, state.select("v", "k", F.col("p").alias("x"))).withColumnRenamed("x", "ap")
+        both = cut(state.join(ap, ["v", "k"]))
+        down = sums(both, F.col("p") * F.col("ap"))
+        step = {k: rest[k] / down[k] if down[k] > 0 else 0.0 for k in rest}
+        moved = cut(both.join(by(step), "k").select("v", "k", (F.col("x") + F.col("by") * F.col("p")).alias("x"), (F.col("r") - F.col("by") * F.col("ap")).alias("r"), "p"))
+        new = sums(moved, F.col("r") * F.col("r"))
+        turn = {k: new[k] / rest[k] if rest[k] > 0 else 0.0 for k in rest}
+        state = moved.join(by(turn), "k").select("v", "k", "x", "r", (F.col("r") + F.col("by") * F.col("p")).alias("p"))
+        rest = new
+    raise ArithmeticError(f"no solution after {most} rounds")
+
+
+def vertex_normals(points: DataFrame, faces: DataFrame) -> DataFrame:
+    """(v, normal): unit sums of the normals of a vertex's faces, weighted by their areas."""
+    at = lambda n: points.select(F.col("v").alias(f"v{n}"), F.col("pos").alias(f"p{n}"))
+    rows = faces
+    for n in range(3):
+        rows = rows.join(at(n), f"v{n}")
+    minus = lambda a, b: F.zip_with(a, b, lambda x, y: x - y)
+    rows = rows.select("v0", "v1", "v2", minus("p1", "p0").alias("e"), minus("p2", "p0").alias("f"))
+    cross = [F.col("e")[(d + 1) % 3] * F.col("f")[(d + 2) % 3] - F.col("e")[(d + 2) % 3] * F.col("f")[(d + 1) % 3] for d in range(3)]
+    each = rows.select(F.explode(F.array("v0", "v1", "v2")).alias("v"), *[c.alias(f"n{d}") for d, c in enumerate(cross)])
+    sums = each.groupBy("v").agg(*[F.sum(f"n{d}").alias(f"n{d}") for d in range(3)])
+    size = F.sqrt(F.col("n0") * F.col("n0") + F.col("n1") * F.col("n1") + F.col("n2") * F.col("n2"))
+    return sums.withColumn("s", size).select("v", F.array(*[F.when(F.col("s") > 0, F.col(f"n{d}") / F.col("s")).otherwise(0.0) for d in range(3)]).alias("normal"))
+
+
 def snapshot(frames: DataFrame, types: int = 9) -> DataFrame:
     """Frames (traj_id, t, v, world_pos, prev_world_pos, node_type) with features: velocity and the one-hot node type."""
     velocity = F.zip_with("world_pos", "prev_world_pos", lambda a, b: a - b)
@@ -106,6 +157,13 @@ def snapshot(frames: DataFrame, types: int = 9) -> DataFrame:
     return frames.withColumn("features", F.concat(velocity, one_hot))
 
 
+def snapshot_edges(frames: DataFrame, edges: DataFrame, keys: list[str], position: str = "world_pos") -> DataFrame:
+    """(keys..., src, dst, relative, length): for each frame, what each edge (src, dst) spans; ``keys`` name a frame."""
+    end = lambda x: frames.select(*keys, F.col("v").alias(x), F.col(position).alias(f"p_{x}"))
+    both = edges.select("src", "dst").join(end("src"), "src").join(end("dst"), [*keys, "dst"])
+    return both.select(*keys, "src", "dst", F.zip_with("p_src", "p_dst", lambda a, b: a - b).alias("relative"), euclidean(F.col("p_src"), F.col("p_dst")).alias("length"))
+
+
 def lag_lead(frames: DataFrame, key: list[str], order: str, value: str) -> DataFrame:
     """Each frame with the value before and after it; the first and last of a key go."""
     w = W.partitionBy(*key).orderBy(*[order] if isinstance(order, str) else order)

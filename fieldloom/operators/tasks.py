@@ -45,6 +45,54 @@ def metrics(predicted: DataFrame, truth: DataFrame, by: list[str] | None = None)
     return rows.groupBy(*by).agg(F.sqrt(F.sum("d")).alias("frobenius"), F.avg(cosine).alias("cosine"))
 
 
+def method_grid(methods: dict, field: DataFrame, known: DataFrame, eps: float = 1e-9) -> DataFrame:
+    """(method, parameter, frobenius, cosine): normalised interpolation of unknown vertices by each integrator of {(method, parameter): integrator}, against the field."""
+    out = None
+    for (name, value), integrator in methods.items():
+        part = metrics(interpolate_normalised(integrator, field, known, eps), field).select(F.lit(name).alias("method"), F.lit(float(value)).alias("parameter"), "frobenius", "cosine")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def best_of_grid(grid: DataFrame) -> DataFrame:
+    """(method, parameter, cosine): each method's parameter with the largest cosine, the smallest of equals."""
+    best = grid.groupBy("method").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "parameter")).alias("b"))
+    return best.select("method", F.col("b.parameter").alias("parameter"), (-F.col("b.c")).alias("cosine"))
+
+
+class Evaluator:
+    """Seconds and the driver's peak memory of named pieces of work."""
+
+    def __init__(self):
+        self.rows: list[tuple[str, float, float]] = []
+
+    def measure(self, name: str, work):
+        """What ``work()`` returns; a DataFrame is computed whole for the timing."""
+        import resource
+        import time
+
+        began = time.perf_counter()
+        out = work()
+        if isinstance(out, DataFrame):
+            out.write.format("noop").mode("overwrite").save()
+        self.rows.append((name, time.perf_counter() - began, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024))
+        return out
+
+    def table(self, spark) -> DataFrame:
+        """(name, seconds, peak_mb) in the order of measuring."""
+        return spark.createDataFrame([(n, *r) for n, r in enumerate(self.rows)], "nth int, name string, seconds double, peak_mb double")
+
+
+def extent(field: DataFrame) -> DataFrame:
+    """(k, least, most) of each field column; no rows for an empty field."""
+    return field.groupBy("k").agg(F.min("x").alias("least"), F.max("x").alias("most"))
+
+
+def support(hist: DataFrame, bound: float, value: str = "x") -> DataFrame:
+    """The cells of a histogram with more than ``bound``."""
+    return hist.where(F.col(value) > bound)
+
+
 def mean_squared_error(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.withColumnRenamed("x", "p").join(b.withColumnRenamed("x", "q"), "v").agg(F.avg((F.col("p") - F.col("q")) ** 2).alias("x"))
 

@@ -82,6 +82,19 @@ def mean_over_trees(results: DataFrame) -> DataFrame:
     return results.groupBy("v", "k").agg(F.avg("x").alias("x"))
 
 
+def least_over_trees(results: DataFrame) -> DataFrame:
+    return results.groupBy("v", "k").agg(F.min("x").alias("x"))
+
+
+def shortest_path_ball(edges: DataFrame, distances: DataFrame, center: int, radius: float, allowed: DataFrame | None = None) -> DataFrame:
+    """(v): what can be reached from ``center`` over ``allowed`` (v) vertices that are all nearer to it than ``radius``. ``distances`` is (i, j, x)."""
+    near = distances.where((F.col("i") == center) & (F.col("x") < radius)).select(F.col("j").alias("v"))
+    near = near if allowed is None else near.join(allowed, "v", "left_semi")
+    near = near.unionByName(near.sparkSession.createDataFrame([(int(center),)], "v long")).distinct()
+    inside = edges.join(near.withColumnRenamed("v", "src"), "src", "left_semi").join(near.withColumnRenamed("v", "dst"), "dst", "left_semi")
+    return bfs_tree(cut(inside.select("src", "dst")), center).select("v")
+
+
 def subtree_sums(tree: DataFrame, costs: DataFrame) -> DataFrame:
     """(v, x): each node's cost plus that of all its descendants."""
     base = cut(tree.join(costs.withColumnRenamed("v", "node"), "node", "left").select("node", "parent", "level", F.coalesce("x", F.lit(0.0)).alias("x")))

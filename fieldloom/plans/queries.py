@@ -214,18 +214,29 @@ _ROWS = ", rs AS (SELECT i, sum(x) s FROM a GROUP BY 1), p AS MATERIALIZED (SELE
 _DSD = ",\n".join(_mul(f"k{n + 1}", f"k{n}" if n else "eye", "p") for n in range(3))
 
 
-@query(f"WITH {t.TRADE}{_ROWS},\n{_DSD},\nf AS (SELECT u.v i, w.v m, coalesce(k3.x, 0) x FROM vx u CROSS JOIN vx w LEFT JOIN k3 ON k3.i = u.v AND k3.j = w.v)\nSELECT l.i, r.i j, round(sum(abs(l.x - r.x)), 6) + 0.0 x FROM f l JOIN f r ON l.m = r.m AND l.i <> r.i GROUP BY 1, 2")
+@query(f"WITH {t.TRADE}{_ROWS},\n{_DSD},\nf AS (SELECT u.v i, w.v m, coalesce(k3.x, 0) x FROM vx u CROSS JOIN vx w LEFT JOIN k3 ON k3.i = u.v AND k3.j = w.v)\nSELECT l.i, r.i j, round(round(sum(abs(l.x - r.x)), 9), 6) + 0.0 x FROM f l JOIN f r ON l.m = r.m AND l.i <> r.i GROUP BY 1, 2")
 def dsd_3(spark: SparkSession, d: str) -> DataFrame:
     return _matrix(kernels.diffusion_state_distance(t.trade(spark, d), 3))
 
 
-_HEAT = ",\n".join(_mul(f"k{12 - n + 1}", "st", f"k{12 - n}" if n < 12 else "eye", f"{1.0 / n!r}") for n in range(12, 0, -1))
+# exp(X) with X = -0.7 (D - A) / 2^6 by 16 terms, then squared six times
+_HEAT = ",\n".join([*[_mul(f"k{16 - n + 1}", "st", f"k{16 - n}" if n < 16 else "eye", f"{1.0 / n!r}") for n in range(16, 0, -1)], *[_mul(f"k{16 + n}", f"k{15 + n}", f"k{15 + n}", plus=None) for n in range(1, 7)]])
+_STRONG = f"WITH {t.TRADE.replace('a AS MATERIALIZED', 'a0 AS MATERIALIZED')}, a AS MATERIALIZED (SELECT i, j, CAST(1 AS DOUBLE) x FROM a0 WHERE x > (SELECT avg(x) FROM a0))"
 
 
-@query(f"WITH {t.TRADE}{_STOCHASTIC}, st AS MATERIALIZED (SELECT i, j, sum(x) * (-0.001) x FROM (SELECT j i, j, s x FROM cs UNION ALL SELECT i, j, -x FROM a) u GROUP BY 1, 2),\n{_HEAT}\nSELECT i, j, round(x, 6) + 0.0 x FROM k12")
-def heat_taylor(spark: SparkSession, d: str) -> DataFrame:
-    """exp(-t (D - A)) with t = 0.1 and the Laplacian over 100, 12 terms."""
-    return _matrix(kernels.heat(t.trade(spark, d), 0.1, terms=12, laplacian_scale=100.0))
+def _strong_trade(spark, d):
+    """The 0/1 matrix of nations with more trade than pairs have in the mean."""
+    a = t.trade(spark, d)
+    return cut(a.crossJoin(F.broadcast(a.agg(F.avg("x").alias("m")))).where("x > m").select("i", "j", F.lit(1.0).alias("x")))  # one row is sent
+
+
+@query(f"{_STRONG}{_STOCHASTIC}, st AS MATERIALIZED (SELECT i, j, sum(x) * (-0.7 / 64) x FROM (SELECT j i, j, s x FROM cs UNION ALL SELECT i, j, -x FROM a) u GROUP BY 1, 2),\n{_HEAT}\nSELECT v.i, v.j, round(coalesce(k.x, 0) * 1000, 6) + 0.0 x FROM (SELECT u.v i, w.v j FROM vx u CROSS JOIN vx w) v LEFT JOIN k22 k ON k.i = v.i AND k.j = v.j")
+def heat_kernel(spark: SparkSession, d: str) -> DataFrame:
+    """exp(-0.7 (D - A)), as the kernel id hk_0.7 names it."""
+    a = _strong_trade(spark, d)
+    v = cut(kernels.vertices_of(a))
+    every = v.select(F.col("v").alias("i")).crossJoin(v.select(F.col("v").alias("j")))
+    return _matrix(every.join(kernels.by_name(a, "hk_0.7"), ["i", "j"], "left").fillna(0.0, ["x"]), 1000)
 
 
 # ---- projections ----------------------------------------------------------------------------
@@ -401,9 +412,13 @@ def _frt_rank(_tree, v):
     return F.pmod(v * 7919 + 13, F.lit(101))
 
 
-@query()
+@query(f"""WITH {_DISTANCES}, sp AS (SELECT min(x) near, max(x) far FROM d8 WHERE i <> j), tp AS (SELECT CAST(ceil(log2(far / near)) AS BIGINT) top FROM sp),
+lv AS (SELECT CAST(range AS BIGINT) level FROM range(1, (SELECT top + 2 FROM tp))),
+ce AS (SELECT i node, level, j c, row_number() OVER (PARTITION BY i, level ORDER BY (CAST(j AS BIGINT) * 7919 + 13) % 101, j) r FROM d8, lv, sp, tp WHERE x < 0.75 * pow(2, top - level + 1) * near)
+SELECT CAST(0 AS BIGINT) tree_id, CAST(node AS BIGINT) node, level, 'r>' || string_agg(CAST(c AS VARCHAR), '>') OVER (PARTITION BY node ORDER BY level) AS cluster FROM ce WHERE r = 1
+UNION ALL SELECT 0, CAST(i AS BIGINT), 0, 'r' FROM d8 WHERE i = j""")
 def frt_levels(spark: SparkSession, d: str) -> DataFrame:
-    """Laminar clusters of the trade graph's distances; a test holds them against a sequential version."""
+    """Laminar clusters of the trade graph's distances."""
     return trees.frt(cut(paths.all_pairs(t.trade_lengths(spark, d))), 0.75, _frt_rank)
 
 
@@ -506,9 +521,28 @@ def diffusion_taylor_action(spark: SparkSession, d: str) -> DataFrame:
     return _field(integrators.epsilon_diffusion(e, -0.002, 8).integrate(points.select("v", F.lit(0).alias("k"), F.col("pos")[0].alias("x"))), 1000)
 
 
-@query()
+def _features_sql(m: int, eps: float, rate: float, terms: int) -> str:
+    """K f = f + sum over n of rate^(n + 1) / (n + 1)! A (B' A)^n B' f, in real and imaginary parts, with the seed's projections as constants."""
+    from ..functions import dense
+
+    omega = dense.projections(m, 3, 0)
+    ratio = dense.box_transform(omega, eps) / dense.gaussian_density(omega)
+    rows = ", ".join(f"({q}, {w[0]!r}, {w[1]!r}, {w[2]!r}, {r!r})" for q, (w, r) in enumerate(zip(omega.tolist(), ratio.tolist(), strict=True)))
+    parts = [
+        f"om(q, w1, w2, w3, r) AS (VALUES {rows})",
+        f"ph AS MATERIALIZED (SELECT v, q, r * cos(2 * pi() * (pos[1] * w1 + pos[2] * w2 + pos[3] * w3)) / sqrt({m}) c, r * sin(2 * pi() * (pos[1] * w1 + pos[2] * w2 + pos[3] * w3)) / sqrt({m}) s FROM p, om)",
+        "ba AS MATERIALIZED (SELECT l.q i, r.q j, sum(l.c * r.c + l.s * r.s) re, sum(l.c * r.s - l.s * r.c) im FROM ph l JOIN ph r ON l.v = r.v GROUP BY 1, 2)",
+        f"y0 AS MATERIALIZED (SELECT q, label k, {rate!r} * sum(c) re, {-rate!r} * sum(s) im FROM ph JOIN p USING (v) GROUP BY 1, 2)",
+    ]
+    for n in range(1, terms):
+        parts.append(f"y{n} AS MATERIALIZED (SELECT ba.i q, k, {rate!r} / {n + 1} * sum(ba.re * y.re - ba.im * y.im) re, {rate!r} / {n + 1} * sum(ba.re * y.im + ba.im * y.re) im FROM ba JOIN y{n - 1} y ON y.q = ba.j GROUP BY 1, 2)")
+    parts.append("ys AS MATERIALIZED (SELECT q, k, sum(re) re, sum(im) im FROM (" + " UNION ALL ".join(f"SELECT * FROM y{n}" for n in range(terms)) + ") u GROUP BY 1, 2)")
+    return ",\n".join(parts)
+
+
+@query(f"WITH {t.CLOUD},\n{_features_sql(16, 0.1, 0.001, 16)}\nSELECT ph.v, k, round(any_value(CASE WHEN p.label = k THEN 1.0 ELSE 0.0 END) + sum(c * re - s * im), 6) + 0.0 x FROM ph JOIN ys USING (q) JOIN p ON p.v = ph.v GROUP BY 1, 2")
 def rfd_integrate(spark: SparkSession, d: str) -> DataFrame:
-    """Random-feature diffusion of labels over a cloud; tests hold it against the dense exponential."""
+    """Random-feature diffusion of labels over a cloud."""
     points = t.cloud(spark, d)
     f = points.select("v", F.col("label").alias("k"), F.lit(1.0).alias("x"))
     return _field(integrators.RandomFeatureDiffusion(points, 0.1, 0.001, 16).integrate(f))
@@ -588,9 +622,28 @@ def conv_barycenter_2d(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("gx").alias("a"), F.col("gy").alias("b"), r6(F.col("x") * 1000).alias("x"))
 
 
-@query()
+_VOXELS = f"""{t.CLOUD}, vs AS (SELECT label % 2 h, pos[1] * 2 x, pos[2] * 2 y, pos[3] * 2 z FROM p), vn AS (SELECT * FROM vs WHERE greatest(abs(x), abs(y), abs(z)) <= 1), vt AS (SELECT h, count(*) n FROM vn GROUP BY 1),
+vc AS (SELECT h, CAST(least(floor((x + 1) / 0.25), 7) AS BIGINT) x, CAST(least(floor((y + 1) / 0.25), 7) AS BIGINT) y, CAST(least(floor((z + 1) / 0.25), 7) AS BIGINT) z, count(*) c FROM vn GROUP BY 1, 2, 3, 4),
+vh AS MATERIALIZED (SELECT w.h, w.a, w.b, w.c, (coalesce(vc.c, 0) / vt.n + 1e-10) / (1 + 512e-10) x FROM (SELECT CAST(o.range AS INTEGER) h, CAST(q.range AS BIGINT) a, CAST(r.range AS BIGINT) b, CAST(s.range AS BIGINT) c FROM range(2) o CROSS JOIN range(8) q CROSS JOIN range(8) r CROSS JOIN range(8) s) w JOIN vt ON vt.h = w.h LEFT JOIN vc ON vc.h = w.h AND vc.x = w.a AND vc.y = w.b AND vc.z = w.c),
+vk AS MATERIALIZED (SELECT CAST(x.range AS BIGINT) a, CAST(y.range AS BIGINT) b, exp(-(((x.range - y.range) * (2.0 / 7)) * ((x.range - y.range) * (2.0 / 7)) / 0.1)) g FROM range(8) x CROSS JOIN range(8) y)"""
+
+
+def _conv3(name: str, source: str) -> str:
+    return f"{name}a AS MATERIALIZED (SELECT h, k.b a, s.b, s.c, sum(s.x * k.g) x FROM {source} s JOIN vk k ON k.a = s.a GROUP BY 1, 2, 3, 4), {name}b AS MATERIALIZED (SELECT h, s.a, k.b b, s.c, sum(s.x * k.g) x FROM {name}a s JOIN vk k ON k.a = s.b GROUP BY 1, 2, 3, 4), {name} AS MATERIALIZED (SELECT h, s.a, s.b, k.b c, sum(s.x * k.g) x FROM {name}b s JOIN vk k ON k.a = s.c GROUP BY 1, 2, 3, 4)"
+
+
+_BARY3 = ["zu0 AS (SELECT h, a, b, c, CAST(1 AS DOUBLE) x FROM vh)"]
+for _n in range(1, 4):
+    _BARY3 += [
+        _conv3(f"zk{_n}", f"zu{_n - 1}"), f"zb{_n} AS MATERIALIZED (SELECT h, a, b, c, vh.x / greatest(k.x, 1e-30) x FROM vh JOIN zk{_n} k USING (h, a, b, c))", _conv3(f"zc{_n}", f"zb{_n}"),
+        f"zr{_n} AS MATERIALIZED (SELECT a, b, c, exp(sum(0.5 * ln(greatest(u.x * k.x, 1e-30)))) x FROM zu{_n - 1} u JOIN zc{_n} k USING (h, a, b, c) GROUP BY 1, 2, 3)",
+        f"zu{_n} AS MATERIALIZED (SELECT k.h, k.a, k.b, k.c, r.x / greatest(k.x, 1e-30) x FROM zc{_n} k JOIN zr{_n} r USING (a, b, c))",
+    ]
+
+
+@query(f"WITH {_VOXELS},\n" + ",\n".join(_BARY3) + "\nSELECT a gx, b gy, c gz, round(x * 1000, 6) + 0.0 x FROM zr3")
 def conv_barycenter_3d(spark: SparkSession, d: str) -> DataFrame:
-    """The barycenter of two voxel histograms (even and odd labels); a test holds it against numpy."""
+    """The barycenter of two voxel histograms (even and odd labels)."""
     p = t.cloud(spark, d).withColumn("pos", F.transform("pos", lambda x: x * 2))
     h = None
     for n in (0, 1):
@@ -779,7 +832,11 @@ def target_distribution(spark: SparkSession, d: str) -> DataFrame:
     return gromov.target_distribution(shares, 4).select("t", r6(F.col("x")).alias("x"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_TWO}, {_CONST}, {_OUTER},
+{_proximal_sql(2, 2)},
+pl AS MATERIALIZED (SELECT i, j, round(x, 9) x, row_number() OVER (ORDER BY round(x, 9) DESC, i, j) r FROM t1p),
+gm(r, ui, uj) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]) UNION ALL SELECT pl.r, list_append(ui, pl.i), list_append(uj, pl.j) FROM (SELECT (SELECT min(pl.r) FROM pl WHERE NOT list_contains(gm.ui, pl.i) AND NOT list_contains(gm.uj, pl.j)) r, ui, uj FROM gm) q JOIN pl ON pl.r = q.r)
+SELECT i, j, round(x * 1000, 6) + 0.0 x FROM gm JOIN pl USING (r)""")
 def greedy_match(spark: SparkSession, d: str) -> DataFrame:
     """One-to-one pairs of two regions' nations by falling plan entries."""
     plan, _ = gromov.proximal(*_two(spark, d), 0.1, 2, 2)
@@ -867,17 +924,28 @@ def faces_to_edges(spark: SparkSession, d: str) -> DataFrame:
     return mesh.faces_to_edges(t.grid(spark)[1])
 
 
-@query()
+_RING = f"""WITH RECURSIVE {t.GRID},
+cn AS MATERIALIZED (SELECT v0 v, v1 here, v2 nxt FROM fc UNION ALL SELECT v1, v2, v0 FROM fc UNION ALL SELECT v2, v0, v1 FROM fc),
+st AS MATERIALIZED (SELECT v, coalesce(min(here) FILTER (WHERE NOT EXISTS (SELECT 1 FROM cn o WHERE o.v = cn.v AND o.nxt = cn.here)), min(here)) u FROM cn GROUP BY 1),
+rg(v, nth, w) AS (SELECT v, CAST(0 AS BIGINT), u FROM st UNION ALL SELECT rg.v, rg.nth + 1, cn.nxt FROM rg JOIN cn ON cn.v = rg.v AND cn.here = rg.w JOIN st ON st.v = rg.v WHERE cn.nxt <> st.u)"""
+
+
+@query(f"{_RING} SELECT v, CAST(nth AS INTEGER) nth, w FROM rg")
 def ordered_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    return mesh.ordered_neighbours(t.grid(spark)[1])
+    return mesh.ordered_neighbours(t.grid(spark)[1]).select("v", F.posexplode("adj").alias("nth", "w"))
 
 
-@query()
+_MESH = f"WITH RECURSIVE {_CORNERS}, sd2 AS MATERIALIZED ({_SIDES}), al AS (SELECT s i, t j, -c x FROM sd2 UNION ALL SELECT t, s, -c FROM sd2 UNION ALL SELECT s, s, c FROM sd2 UNION ALL SELECT t, t, c FROM sd2), lp AS MATERIALIZED (SELECT i, j, sum(x) x FROM al GROUP BY 1, 2), dd AS (SELECT *, {_HERON} d FROM ct), sh AS ({' UNION ALL '.join(f'SELECT v{n} v, {_SHARE(n, (n + 1) % 3, (n + 2) % 3)} a FROM dd' for n in range(3))}), ar AS MATERIALIZED (SELECT v, sum(a) / (SELECT sum(a) FROM sh) a FROM sh GROUP BY 1)"
+# (diag(a) + 0.005 L) x = a f by Jacobi's iteration, twice
+_JACOBI = lambda name, start: f"{name}(n, v, x) AS (SELECT 0, v, CAST(0 AS DOUBLE) FROM ar UNION ALL SELECT o.n + 1, mo.i, (any_value(b.x) - sum(mo.x * o.x)) / any_value(md.x) FROM {name} o JOIN mo ON mo.j = o.v JOIN md ON md.v = mo.i JOIN {start} b ON b.v = mo.i WHERE o.n < 400 GROUP BY o.n, mo.i)"
+
+
+@query(f"{_MESH}, mo AS MATERIALIZED (SELECT i, j, 0.005 * x x FROM lp WHERE i <> j), md AS MATERIALIZED (SELECT i v, a + 0.005 * x x FROM lp JOIN ar ON ar.v = i WHERE i = j), b1 AS MATERIALIZED (SELECT v, CASE WHEN v = 200 THEN a ELSE 0.0 END x FROM ar), {_JACOBI('j1', 'b1')}, b2 AS MATERIALIZED (SELECT v, a * x x FROM j1 JOIN ar USING (v) WHERE n = 400), {_JACOBI('j2', 'b2')} SELECT v, 0 k, round(x * 1000, 6) + 0.0 x FROM j2 WHERE n = 400")
 def heat_step(spark: SparkSession, d: str) -> DataFrame:
-    """Two implicit heat steps of a point mass; a test checks the equation."""
+    """Two implicit heat steps of a point mass."""
     points, faces = t.grid(spark)
     f = points.select("v", F.lit(0).alias("k"), F.when(F.col("v") == 200, 1.0).otherwise(0.0).alias("x"))
-    return _field(mesh.heat(mesh.cotangent_laplacian(points, faces), mesh.vertex_areas(points, faces), f, 0.01, 2), 1000)
+    return _field(mesh.heat(cut(mesh.cotangent_laplacian(points, faces)), cut(mesh.vertex_areas(points, faces)), f, 0.01, 2), 1000)
 
 
 @query("""SELECT event_id, user_id, round(prev, 6) + 0.0 prev, round(value, 6) + 0.0 AS value, round(target, 6) + 0.0 target FROM (SELECT *, lag(value) OVER w prev, lead(value) OVER w target FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) q WHERE prev IS NOT NULL AND target IS NOT NULL""")
@@ -919,3 +987,6 @@ def eig_features_rf(spark: SparkSession, d: str) -> DataFrame:
     f = tasks.spectrum(p.select(F.col("g").cast("long").alias("g"), "v", "pos"), k=16, eps=9.0, rate=-0.01)
     labels = p.select(F.col("g").cast("long").alias("g"), F.floor(F.col("label") / 5).alias("y")).distinct()
     return tasks.classify(cut(f.join(labels, "g")), F.pmod(F.col("g"), F.lit(2)) == 0)
+
+
+from . import fields  # noqa: E402,F401  registers its queries

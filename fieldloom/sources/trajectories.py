@@ -77,19 +77,43 @@ def arrays(data: bytes, meta: dict) -> dict[str, np.ndarray]:
 
 
 def read(spark: SparkSession, path: str, meta: str | dict) -> DataFrame:
-    """(file, traj, t, v, world_pos, mesh_pos, node_type) rows of all trajectories in TFRecord files under ``path``."""
+    """(file, traj, t, v, world_pos, mesh_pos, node_type, more) rows of all trajectories in TFRecord files under ``path``; ``more`` maps the names of other features of vertices to their values."""
     meta = json.loads(meta) if isinstance(meta, str) else meta
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(F.col("path").endswith(".tfrecord")).select("path", "content")
 
     def run(batches):
-        for batch in batches:
-            for name, data in zip(batch["path"], batch["content"], strict=True):
-                for n, record in enumerate(records(data)):
-                    a = arrays(record, meta)
-                    for t in range(a["world_pos"].shape[0]):
-                        w = a["world_pos"][t]
-                        m = a["mesh_pos"][t] if "mesh_pos" in a else np.zeros((len(w), 0))
-                        kind = a["node_type"][t].ravel() if "node_type" in a else np.zeros(len(w), np.int32)
-                        yield pd.DataFrame({"file": name, "traj": n, "t": t, "v": np.arange(len(w)), "world_pos": list(w.astype(float)), "mesh_pos": list(m.astype(float)), "node_type": kind.astype(np.int32)})
-
-    return files.mapInPandas(run, "file string, traj long, t long, v long, world_pos array<double>, mesh_pos array<double>, node_type int")
+        for name, n, a in _trajectories(batches, meta):
+            steps, size = a["world_pos"].shape[:2]
+            each = {k: x.reshape(steps * size, -1) for k, x in a.items() if x.ndim == 3 and x.shape[:2] == (steps, size) and k != "cells"}
+            wide = lambda k: list(each[k].astype(float)) if k in each else [[]] * (steps * size)  # noqa: B023, E731
+            others = [k for k in each if k not in ("world_pos", "mesh_pos", "node_type")]
+            more = [dict(zip(others, x, strict=True)) for x in zip(*[each[k].astype(float).tolist() for k in others], strict=True)] if others else [{}] * (steps * size)
+            kind = each["node_type"][:, 0].astype(np.int32) if "node_type" in each else np.zeros(steps * size, np.int32)
+            yield pd.DataFrame({"file": name, "traj": n, "t": np.repeat(np.arange(steps), size), "v": np.tile(np.arange(size), steps), "world_pos": wide("world_pos"), "mesh_pos": wide("mesh_pos"), "node_type": kind, "more": more})
+
+    schema = "file string, traj long, t long, v long, world_pos array<double>, mesh_pos array<double>, node_type int, more map<string,array<double>>"
+    return _files(spark, path).mapInPandas(run, schema)
+
+
+def read_cells(spark: SparkSession, path: str, meta: str | dict) -> DataFrame:
+    """(file, traj, f, corners): the cells of each trajectory's mesh, which are those of its first frame."""
+    meta = json.loads(meta) if isinstance(meta, str) else meta
+
+    def run(batches):
+        for name, n, a in _trajectories(batches, meta):
+            if "cells" in a:
+                cells = a["cells"][0] if a["cells"].ndim == 3 else a["cells"]
+                yield pd.DataFrame({"file": name, "traj": n, "f": np.arange(len(cells)), "corners": list(cells.astype(np.int64))})
+
+    return _files(spark, path).mapInPandas(run, "file string, traj long, f long, corners array<long>")
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(F.col("path").endswith(".tfrecord")).select("path", "content")
+
+
+def _trajectories(batches, meta: dict):
+    """(file, number in the file, arrays) of each record."""
+    for batch in batches:
+        for name, data in zip(batch["path"], batch["content"], strict=True):
+            for n, record in enumerate(records(data)):
+                yield name, n, arrays(record, meta)

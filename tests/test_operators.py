@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions import dense
 from fieldloom.functions.columns import exponential
-from fieldloom.operators import factor, gromov, integrators, kernels, mesh, paths, planar, transport, trees
+from fieldloom.operators import blocks, factor, graphs, gromov, integrators, kernels, mesh, paths, planar, tasks, transport, trees
 from fieldloom.operators import linalg as la
-from fieldloom.sources import generate, meshes, store, trajectories
+from fieldloom.sources import generate, meshes, results, store, trajectories
 from fieldloom.streaming import incremental
 
 
@@ -273,3 +273,309 @@ def test_stream_of_changes_adds_up(spark, tmp_path):
     q = incremental.integrate(changes, kernel).writeStream.format("memory").queryName("sums").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     q.awaitTermination(60)
     assert {(r.v, r.x) for r in spark.table("sums").collect()} == {(0, 5.0), (1, 2.0)}
+
+
+def entries(df):
+    return {(r.i, r.j): r.x for r in df.collect()}
+
+
+def matrix_of(rows, n):
+    out = np.zeros((n, n))
+    for (i, j), x in rows.items():
+        out[i, j] = x
+    return out
+
+
+@pytest.mark.parametrize("n,p", [(40, 0.3), (500, 0.2)])
+def test_heat_kernel_is_the_exponential_for_large_norms(spark, n, p):
+    e = generate.erdos_renyi(spark, n, p, 42).select(F.col("src").alias("i"), F.col("dst").alias("j"), F.col("w").alias("x")).cache()
+    a = matrix_of(entries(e), n)
+    values, vectors = np.linalg.eigh(np.diag(a.sum(0)) - a)
+    want = (vectors * np.exp(-0.7 * values)) @ vectors.T
+    got = kernels.by_name(e, "hk_0.7").toPandas()
+    out = np.zeros((n, n))
+    out[got["i"], got["j"]] = got["x"]
+    assert np.abs(out - want).max() < 1e-10 and abs(out.sum(0) - 1).max() < 1e-9
+
+
+def test_blocks_multiply_and_invert(spark):
+    rng = np.random.default_rng(0)
+    n = 21
+    x = rng.uniform(size=(n, n)) + n * np.eye(n)
+    df = spark.createDataFrame([(3 * i, 3 * j, float(x[i, j])) for i in range(n) for j in range(n)], "i long, j long, x double")
+    at = blocks.places(kernels.vertices_of(df))
+    assert [r["at"] for r in at.orderBy("v").collect()] == list(range(n))
+    back = lambda blk: matrix_of({(i // 3, j // 3): v for (i, j), v in entries(blocks.to_entries(blk, at)).items()}, n)
+    b = blocks.from_entries(df, at)
+    assert np.allclose(back(b), x)
+    assert np.allclose(back(blocks.multiply(b, b, 0.5)), 0.5 * x @ x)
+    assert np.allclose(back(blocks.add((b, 2.0), (blocks.transpose(b), -1.0))), 2 * x - x.T)
+    assert np.allclose(back(blocks.inverse(b, n)), np.linalg.inv(x))
+    assert np.allclose(back(blocks.expm(blocks.add((b, 0.1)), n)), dense.expm(0.1 * x))
+    assert np.allclose(blocks.norms(b), (x.sum(0).max(), x.sum(1).max()))
+    assert np.allclose(back(blocks.apply(b, b, lambda p, q: p * q)), x * x)
+
+
+def test_blocks_beyond_one_block(spark):
+    n = 300
+    rng = np.random.default_rng(1)
+    x = np.diag(np.full(n, 4.0)) + np.diag(rng.uniform(size=n - 1), 1) + np.diag(rng.uniform(size=n - 1), -1)
+    i, j = np.nonzero(x)
+    df = spark.createDataFrame([(int(a), int(b), float(x[a, b])) for a, b in zip(i, j, strict=True)], "i long, j long, x double")
+    at = blocks.places(kernels.vertices_of(df))
+    b = blocks.from_entries(df, at)
+    for got, want in ((blocks.inverse(b, n), np.linalg.inv(x)), (blocks.expm(b, n), dense.expm(x))):
+        pdf = blocks.to_entries(got, at).toPandas()
+        out = np.zeros((n, n))
+        out[pdf["i"], pdf["j"]] = pdf["x"]
+        assert np.allclose(out, want, rtol=1e-8, atol=1e-9)
+
+
+def test_state_distance_of_the_limit(spark):
+    e = generate.erdos_renyi(spark, 12, 0.6, 2).select(F.col("src").alias("i"), F.col("dst").alias("j"), F.col("w").alias("x")).cache()
+    a = matrix_of(entries(e), 12)
+    p, pi = a / a.sum(1)[:, None], a.sum(1) / a.sum()
+    rows = np.linalg.inv(np.eye(12) - p - pi[None])
+    got = entries(kernels.by_name(e, "dsd_-1"))
+    assert len(got) == 132 and all(abs(x - np.abs(rows[i] - rows[j]).sum()) < 1e-7 for (i, j), x in got.items())
+
+
+@pytest.mark.parametrize("rate", [-0.3, 0.75, 20.0])
+def test_diffusion_is_exact_for_any_rate(spark, rate):
+    e = generate.erdos_renyi(spark, 12, 0.4, 1)
+    m = e.select(F.col("src").alias("i"), F.col("dst").alias("j"), F.col("w").alias("x")).cache()
+    a = matrix_of(entries(m), 12)
+    f = spark.range(12).select(F.col("id").alias("v"), F.lit(0).alias("k"), (F.col("id") + 1.0).alias("x"))
+    values_, vectors = np.linalg.eigh(a)
+    want = (vectors * np.exp(rate * values_)) @ vectors.T @ np.arange(1.0, 13)
+    got = values(integrators.TaylorDiffusion(m, rate).integrate(f))
+    assert np.allclose([got.get((v, 0), 0.0) for v in range(12)], want, rtol=1e-8)
+
+
+def test_krylov_takes_all_columns_at_once(spark):
+    m = generate.erdos_renyi(spark, 10, 0.5, 3).select(F.col("src").alias("i"), F.col("dst").alias("j"), (0.3 * F.col("w")).alias("x")).cache()
+    a = matrix_of(entries(m), 10)
+    f = spark.range(10).select(F.col("id").alias("v"), F.explode(F.array(*[F.lit(k) for k in range(3)])).alias("k")).withColumn("x", F.when(F.col("k") == 2, 0.0).otherwise(F.col("v") + 1.0 + F.col("k"))).cache()
+    got = values(integrators.LanczosDiffusion(m, 10, -1.0).integrate(f))
+    for k in (0, 1):
+        want = dense.expm(-a) @ (np.arange(10) + 1.0 + k)
+        assert np.allclose([got.get((v, k), 0.0) for v in range(10)], want, rtol=1e-6)
+    assert all(abs(x) < 1e-12 for (v, k), x in got.items() if k == 2)
+
+
+def test_squares_of_kernels_through_integrators(spark):
+    points = generate.cloud(spark, 25, seed=4).cache()
+    p = spark.range(25).select(F.col("id").alias("v"), (1.0 + F.col("id") % 3).alias("x"))
+    r = integrators.RandomFeatureDiffusion(points, 0.3, 0.001, 6)
+    pos = np.array([x.pos for x in points.orderBy("v").collect()])
+    a, b = integrators.features(pos, r.omega, r.ratio)
+    k = dense.expm(0.001 * a @ b.T).real
+    low = gromov.LowRank(pos, 0.3, 0.001, 6)
+    mass = 1.0 + np.arange(25) % 3
+    want = (k * k) @ mass
+    got = {x.v: x.x for x in integrators.square_integrate(r, p).collect()}
+    assert np.allclose([got[v] for v in range(25)], want) and np.allclose(low.squared(mass), want) and np.allclose(low @ np.eye(25), k)
+
+    class Plain:  # an integrator that only integrates
+        integrate = r.integrate
+
+    got = {x.v: x.x for x in integrators.square_integrate(Plain(), p).collect()}
+    assert np.allclose([got[v] for v in range(25)], np.diag(k @ np.diag(mass) @ k))
+
+
+def test_proximal_method_on_strips_equals_the_dense_one(spark):
+    clouds = [generate.cloud(spark, n, seed=s, gaussian=False).cache() for n, s in ((150, 1), (140, 2))]
+    plan, cost = gromov.proximal_clouds(*clouds, 0.3, 1e-4, 6, 0.2, 3, 2)
+    pos = [np.array([r.pos for r in c.orderBy("v").collect()]) for c in clouds]
+    c1, c2 = (gromov.LowRank(x, 0.3, 1e-4, 6) @ np.eye(len(x)) for x in pos)
+    p, q = (np.full(len(x), 1 / len(x)) for x in pos)
+    t = np.outer(p, q)
+    for _ in range(3):
+        c = gromov.square_tensor(c1, c2, p, q, t)
+        k, a = np.exp(-c / 0.2) * t, p
+        for _ in range(2):
+            b = q / (k.T @ a)
+            a = p / (k @ b)
+        t = a[:, None] * k * b[None]
+    got = entries(plan)
+    assert abs(sum(got.values()) - 1) < 1e-9 and all(abs(t[i, j] - x) < 1e-12 for (i, j), x in got.items())
+    assert abs(cost - (gromov.square_tensor(c1, c2, p, q, t) * t).sum()) < 1e-9
+
+
+@pytest.mark.parametrize("loss,line", [("square_loss", "closed"), ("square_loss", "armijo"), ("kl_loss", "armijo")])
+def test_conditional_gradient_never_rises(loss, line):
+    rng = np.random.default_rng(5)
+    x, y = rng.uniform(size=(7, 2)), rng.uniform(size=(9, 2))
+    c1, c2 = (0.1 + np.sqrt(((z[:, None] - z[None]) ** 2).sum(2)) for z in (x, y))
+    p, q = np.full(7, 1 / 7), np.full(9, 1 / 9)
+    costs = [gromov.conditional_gradient(np.zeros((7, 9)), c1, c2, p, q, 1.0, n, loss=loss, line=line)[1] for n in (1, 3, 10)]
+    assert costs[0] >= costs[1] - 1e-12 >= costs[2] - 2e-12
+    assert gromov.closed_step(2.0, -1.0) == 0.25 and gromov.closed_step(-1.0, 0.5) == 1.0 and gromov.closed_step(-1.0, 2.0) == 0.0
+    assert gromov.armijo(lambda s: (s - 0.3) ** 2, 0.09, -0.6) == 0.5
+
+
+def test_conditional_gradient_on_features_equals_the_dense_one(spark):
+    pos = [np.random.default_rng(s).normal(size=(8, 3)) for s in (1, 2)]
+    low = [gromov.LowRank(x, 0.3, 0.005, 6) for x in pos]
+    p = np.full(8, 1 / 8)
+    m = np.random.default_rng(3).uniform(size=(8, 8))
+    a = gromov.conditional_gradient(m, *low, p, p, 0.5)
+    b = gromov.conditional_gradient(m, *(k @ np.eye(8) for k in low), p, p, 0.5)
+    assert abs(a[1] - b[1]) < 1e-9
+    rows = [(0, s, v, pos[s][v].tolist(), v % 2) for s in (0, 1) for v in range(8)]
+    got = gromov.compare_clouds(spark.createDataFrame(rows, "pair long, side int, v long, pos array<double>, label long"), 0.3, 0.005, 6, 0.5).collect()
+    assert abs(sum(r.x for r in got) - 1) < 1e-9
+
+
+def test_fused_barycenter_keeps_what_is_fixed(spark):
+    rng = np.random.default_rng(7)
+    rows, feats = [], []
+    for g in range(3):
+        x = rng.uniform(size=(5, 2))
+        c = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+        rows += [(g, i, j, float(c[i, j])) for i in range(5) for j in range(5)]
+        feats += [(g, i, 0, float(i % 2)) for i in range(5)]
+    graphs_ = spark.createDataFrame(rows, "g long, i long, j long, x double").cache()
+    features = spark.createDataFrame(feats, "g long, v long, k int, x double").cache()
+    structure, y = gromov.fused_barycenter(graphs_, features, 5, 0.5, 2)
+    c = matrix_of(entries(structure), 5)
+    assert np.allclose(c, c.T) and all(0 <= r.x <= 1 for r in y.collect())
+    fixed = spark.createDataFrame([(i, 0, 0.5) for i in range(5)], "v long, k int, x double")
+    assert {(r.v, r.x) for r in gromov.fused_barycenter(graphs_, features, 5, 0.5, 1, fixed_features=fixed)[1].collect()} == {(i, 0.5) for i in range(5)}
+    assert entries(gromov.fused_barycenter(graphs_, features, 5, 0.5, 1, fixed_structure=structure)[0]) == entries(structure)
+
+
+def test_recursive_partitions_cover_every_node(spark):
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=(6, 2)), rng.normal(size=(6, 2)) + 8])
+    w = np.exp(-np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)))
+    one = [(i, j, float(w[i, j])) for i in range(12) for j in range(12) if i != j]
+    got = gromov.recursive_partition(spark.createDataFrame(one, "i long, j long, x double"), 2, 4, 3, beta=0.05).collect()
+    assert sorted(r.v for r in got) == list(range(12))
+    many = spark.createDataFrame([(g, i, j, v) for g in (0, 1) for i, j, v in one], "g long, i long, j long, x double").cache()
+    parts = gromov.recursive_multi_partition(many, 2, 4, 2).cache()
+    assert sorted((r.g, r.v) for r in parts.collect()) == [(g, v) for g in (0, 1) for v in range(12)]
+    assert sum(len(r.nodes) for r in gromov.node_sets(parts).collect()) == 24
+    pairs = gromov.recursive_indirect_matching(many, 0, 1, 2, 4, 2).collect()
+    assert pairs and len({r.i for r in pairs}) == len(pairs) == len({r.j for r in pairs})
+
+
+def test_masses_stay_a_distribution(spark):
+    cs = spark.createDataFrame([(i, j, float(abs(i - j))) for i in range(4) for j in range(4)], "i long, j long, x double")
+    p = spark.createDataFrame([(i, 0.25) for i in range(4)], "v long, x double")
+    plan, ps = gromov.proximal_mass(cs, cs, p.select("v"), p, 0.5, 2, 5, 0.1, 0.05)
+    assert abs(sum(r.x for r in ps.collect()) - 1) < 1e-12 and abs(sum(r.x for r in plan.collect()) - 1) < 1e-6
+    stopped, _ = gromov.proximal(cs, cs, p, p, 0.5, 50, 3, bound=1e-3, entropic=True)
+    assert abs(sum(r.x for r in stopped.collect()) - 1) < 1e-6
+
+
+def test_loops_stop_when_nothing_changes(spark):
+    """A loose tolerance ends a loop early: the result is that of as few rounds."""
+    n = 4
+    kernel = spark.createDataFrame([(i, j, math.exp(-abs(i - j))) for i in range(n) for j in range(n)], "i long, j long, x double")
+    h = spark.createDataFrame([(i, k, 0.1 + 0.2 * ((i + k) % 3)) for i in range(n) for k in (0, 1)], "v long, k int, x double").cache()
+    through = integrators.Materialised(kernel)
+    a, b = (transport.convolutional_barycenter(h, {0: 1.0, 1: 1.0}, through, iterations=r, tolerance=t) for r, t in ((2, None), (50, 1e9)))
+    assert {r.v: r.x for r in a.collect()} == pytest.approx({r.v: r.x for r in b.collect()})
+    first, second = (h.where(F.col("k") == k).withColumn("k", F.lit(0)) for k in (0, 1))
+    a, b = (transport.convolutional_distance(first, second, through, iterations=r, tolerance=t).first().x for r, t in ((2, None), (50, 1e9)))
+    assert a == pytest.approx(b)
+    cost = spark.createDataFrame([(i, j, abs(i - j) / 3.0) for i in range(n) for j in range(n)], "i long, j long, x double")
+    p = spark.createDataFrame([(i, 0.25) for i in range(n)], "v long, x double")
+    assert entries(transport.log_sinkhorn(cost, p, p, 0.5, 50, threshold=1e9)) == pytest.approx(entries(transport.log_sinkhorn(cost, p, p, 0.5, 1)))
+
+
+def test_separators_found_elsewhere(spark):
+    """The planar separator, and slices of another width, plugged into the recursion."""
+    adj = planar.grid_embedding(5, 4)
+    e = spark.createDataFrame([(u, w, 1.0) for u in adj for w in adj[u]], "src long, dst long, w double").cache()
+    lists = spark.createDataFrame(list(adj.items()), "v long, adj array<long>")
+    f = spark.createDataFrame([(v, 0, 1.0 + v % 3) for v in adj], "v long, k int, x double").cache()
+    r = factor.RecursiveSeparator(e, f.select("v"), exponential(0.3), threshold=15, finder=factor.by_embedding(lists))
+    assert r.slices is not None
+    got, exact = values(r.integrate(f)), values(integrators.BruteForce(e, exponential(0.3)).integrate(f))
+    assert got.keys() == exact.keys() and np.mean([abs(got[v] - exact[v]) / exact[v] for v in exact]) < 0.35
+    parts = spark.createDataFrame([(v, 2 if v % 5 == 2 else int(v % 5 > 2)) for v in adj], "v long, part int")
+    plain = integrators.Separator(e, parts, exponential(0.3))
+    wide = integrators.Separator(e, parts, exponential(0.3), clustering=lambda d: F.floor(d / 1.0))
+    assert close(values(wide.integrate(f)), values(plain.integrate(f)))
+    assert close(values(plain.squared().integrate(f)), values(integrators.Separator(e, parts, exponential(0.6)).integrate(f)))
+
+
+def test_conjugate_gradients_solve_what_one_task_solves(spark):
+    points, faces = mesh.grid(spark, 4, 3)
+    lap, areas = mesh.cotangent_laplacian(points, faces).cache(), mesh.vertex_areas(points, faces).cache()
+    f = points.select("v", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"), (F.col("v") % 3 + 0.0).alias("x")).withColumn("x", F.col("x") * F.col("k") + 1.0)
+    assert close(values(mesh.heat(lap, areas, f, 0.05)), values(mesh.heat(lap, areas, f, 0.05, one_task=1)))
+
+
+def test_small_operators(spark):
+    frames = spark.createDataFrame([(0, [1.0, 2.0], 0), (1, [3.0, 4.0], 1)], "v long, world_pos array<double>, node_type int")
+    moved = mesh.noisy(frames.withColumn("target_world_pos", F.col("world_pos")), 0.1, 0.1, 3).orderBy("v").collect()
+    assert moved[1].world_pos == [3.0, 4.0] and moved[0].world_pos != [1.0, 2.0]
+    assert all(abs((t - o) - 0.9 * (w - o)) < 1e-9 for t, w, o in zip(moved[0].target_world_pos, moved[0].world_pos, [1.0, 2.0], strict=True))
+    v = spark.range(1000).withColumnRenamed("id", "v")
+    share = generate.known_mask(v, 0.8, 1)
+    assert 0.75 < share.count() / 1000 < 0.85 and sorted(share.collect()) == sorted(generate.known_mask(v, 0.8, 1).collect())
+    assert generate.choices(v, 3, 7).groupBy("set_id").count().where("count = 7").count() == 3
+    draws = v.select(generate.geometric_number(0.25, F.col("v")).alias("x"))
+    assert abs(draws.agg(F.avg("x")).first()[0] - 4) < 0.5 and draws.agg(F.min("x")).first()[0] == 1
+    tree = spark.createDataFrame([(0, 0, 1.0), (0, 1, 5.0), (1, 0, 3.0), (1, 1, 2.0)], "tree_id long, v long, x double").withColumn("k", F.lit(0))
+    assert {(r.v, r.x) for r in trees.least_over_trees(tree).collect()} == {(0, 1.0), (1, 2.0)}
+    clock = tasks.Evaluator()
+    assert clock.measure("range", lambda: spark.range(5)).count() == 5
+    assert [r.name for r in clock.table(spark).collect()] == ["range"] and clock.rows[0][1] > 0
+    grid = spark.createDataFrame([("a", 1.0, 0.5), ("a", 2.0, 0.9), ("b", 1.0, 0.1)], "method string, parameter double, cosine double")
+    assert {(r.method, r.parameter) for r in tasks.best_of_grid(grid).collect()} == {("a", 2.0), ("b", 1.0)}
+    assert tasks.is_psd(np.eye(2)) and not tasks.is_psd(-np.eye(2))
+    assert integrators.taylor_plan(0.0) == (1, 1) and all(s * t < 40 * max(1, n) for n in (0.1, 1, 30, 500) for s, t in [integrators.taylor_plan(n)])
+
+
+def test_generated_graphs(spark):
+    e = generate.regular(spark, 20, 5, 2)
+    assert e.groupBy("src").count().where("count <> 5").count() == 0 and e.count() == 100
+    with pytest.raises(ValueError):
+        generate.regular(spark, 5, 3)
+    points, near = generate.geometric(spark, 60, 0.3, seed=5)
+    pos = {r.v: np.array(r.pos) for r in points.collect()}
+    want = {(u, w) for u in pos for w in pos if u != w and round(float(np.linalg.norm(pos[u] - pos[w])), 9) <= 0.3}
+    assert {(r.src, r.dst) for r in near.collect()} == want
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cityblock", "chebyshev"])
+def test_cells_find_every_near_pair(spark, metric):
+    points = generate.cloud(spark, 80, 3, 8, gaussian=True).cache()
+    rows = lambda df: {(r.src, r.dst, round(r.w, 8)) for r in df.collect()}
+    every = graphs._blockwise(points, metric, lambda d, same, ids: np.nonzero((d <= 0.7) & ~same))
+    assert rows(graphs.epsilon_graph(points, 0.7, metric)) == rows(every)
+
+
+def test_results_and_configurations(spark, tmp_path):
+    frames = spark.createDataFrame([(0, 0, [1.0]), (1, 0, [2.0])], "traj_id long, v long, world_pos array<double>")
+    results.write_snapshots(frames, str(tmp_path / "frames"))
+    assert results.read_snapshots(spark, str(tmp_path / "frames"), [1]).first().world_pos == [2.0] and results.read_snapshots(spark, str(tmp_path / "frames")).count() == 2
+    for kind in ("parquet", "csv", "json"):
+        results.write(spark.range(3), str(tmp_path / kind), kind)
+        assert spark.read.option("header", True).format(kind).load(str(tmp_path / kind)).count() == 3
+    with pytest.raises(ValueError):
+        results.write(spark.range(3), str(tmp_path / "x"), "xls")
+    results.log(spark, str(tmp_path / "log"), "one", "two")
+    results.log(spark, str(tmp_path / "log"), "three")
+    assert spark.read.text(str(tmp_path / "log")).count() == 3
+    assert results.config('{"a": {"sigma": [1, 2]}}') == {"a": {"sigma": [1, 2]}}
+    got = results.grid(spark, {"a": {"sigma": [1, 2], "eps": 0.5}, "b": {"m": 16}}).collect()
+    assert sorted((r.method, sorted(r.parameters.items())) for r in got) == [("a", [("eps", 0.5), ("sigma", 1.0)]), ("a", [("eps", 0.5), ("sigma", 2.0)]), ("b", [("m", 16.0)])]
+
+
+def test_binary_mesh_files(spark, tmp_path):
+    head = b"ply\nformat binary_little_endian 1.0\nelement vertex 4\nproperty float x\nproperty float y\nproperty float z\nproperty uchar red\nelement face 1\nproperty list uchar int vertex_indices\nend_header\n"
+    body = b"".join(struct.pack("<fffB", *p, 7) for p in ((0, 0, 0), (1, 0, 0), (1, 1, 0), (0, 1, 0))) + struct.pack("<Biiii", 4, 0, 1, 2, 3)
+    (tmp_path / "a.ply").write_bytes(head + body)
+    points, faces = meshes.read(spark, f"file://{tmp_path}")
+    assert [r.pos for r in points.orderBy("v").collect()] == [[0, 0, 0], [1, 0, 0], [1, 1, 0], [0, 1, 0]]
+    assert sorted((r.v0, r.v1, r.v2) for r in faces.collect()) == [(0, 1, 2), (0, 2, 3)]
+    text = [r.line for r in meshes.to_obj(points, faces).collect()]
+    assert text[0].startswith("v ") and text[-1] == "f 1 3 4"
+    (tmp_path / "b.obj").write_text("\n".join(text))
+    again = meshes.parse("b.obj", (tmp_path / "b.obj").read_bytes())
+    assert again[0].tolist() == [[0, 0, 0], [1, 0, 0], [1, 1, 0], [0, 1, 0]] and len(again[1]) == 2

@@ -11,7 +11,8 @@ from fieldloom.plans import queries as plans  # noqa: E402
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-FAST = ["interp_knn_label", "mutual_knn", "metric_columns", "adjacency_to_coo", "induced_subgraph", "matvec_field", "icn_kernel", "rw_kernel_2", "projection_zscore", "node_ranking", "apsp_minplus", "mst_edges", "sinkhorn_knopp_5it", "sinkhorn_log_3it", "conv_barycenter_2d", "gw_tensor_product", "target_distribution", "cot_laplacian", "vertex_areas", "trajectory_lag_lead", "histogram_3d", "center_scale"]
+FAST = ["interp_knn_label", "mutual_knn", "metric_columns", "adjacency_to_coo", "induced_subgraph", "matvec_field", "icn_kernel", "rw_kernel_2", "projection_zscore", "node_ranking", "apsp_minplus", "mst_edges", "sinkhorn_knopp_5it", "sinkhorn_log_3it", "conv_barycenter_2d", "gw_tensor_product", "target_distribution", "cot_laplacian", "vertex_areas", "trajectory_lag_lead", "histogram_3d", "center_scale",
+        "heat_kernel", "rfd_integrate", "heat_step", "metric_columns_truth", "mass_update", "gw_proximal_integrators", "vertex_normals"]
 
 
 @pytest.fixture(scope="module")
