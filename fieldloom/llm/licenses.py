@@ -136,3 +136,30 @@ def scan(docs: DataFrame, texts: dict[str, str] | None = None, containment: floa
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, license string, first_word long, n_words long, containment double")
+
+
+def _oracle() -> str:
+    """DuckDB SQL for the rows of ``scan(docs)``: every template against every window, by exact shingles."""
+    found = Templates(NOTICES)
+    rows = ", ".join("('{}', {}, '{}')".format(name, c, NOTICES[name].replace("'", "''")) for name, c in zip(found.names, found.window, strict=True))
+    punctuation = r"[!-/:-@\[-`{-~]"
+    split = rf"""list_transform(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'),
+      lambda w: CASE WHEN regexp_replace(w, '^{punctuation}+|{punctuation}+$', '', 'g') = '' THEN w ELSE regexp_replace(w, '^{punctuation}+|{punctuation}+$', '', 'g') END)"""
+    grams = "CASE WHEN len(ws) < 3 THEN array_to_string(ws, ' ') ELSE ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] END"
+    return f"""
+WITH t(name, c, text) AS (VALUES {rows}),
+tw AS (SELECT name, c, {split} ws FROM t),
+tg AS (SELECT DISTINCT name, c, {grams} g FROM tw, unnest(range(1, greatest(len(ws) - 1, 2))) u(i)),
+ts AS (SELECT name, count(*) n FROM tg GROUP BY 1),
+d AS (SELECT row_number() OVER () r, doc_id, text FROM documents),
+dw AS (SELECT r, doc_id, {split} ws FROM d),
+dg AS (SELECT r, doc_id, len(ws) n_words, greatest(len(ws) - 2, 1) n, i - 1 p, {grams} g FROM dw, unnest(range(1, greatest(len(ws) - 1, 2))) u(i) WHERE len(ws) > 0),
+hit AS (SELECT r, doc_id, n_words, n, name, c, p, g FROM dg JOIN tg USING (g)),
+win AS (SELECT *, p // c AS w FROM hit UNION ALL SELECT *, p // c - 1 FROM hit WHERE p // c > 0),
+got AS (SELECT r, doc_id, n_words, name, w, min(p) first_word, CAST(count(DISTINCT g) AS DOUBLE) / any_value(ts.n) share FROM win JOIN ts USING (name) WHERE w = 0 OR w * c + c < win.n GROUP BY 1, 2, 3, 4, 5),
+best AS (SELECT *, row_number() OVER (PARTITION BY r, name ORDER BY share DESC, w) k FROM got WHERE share >= {CONTAINMENT})
+SELECT doc_id, name AS license, first_word, n_words, share AS containment FROM best WHERE k = 1
+"""
+
+
+ORACLE = _oracle()

@@ -61,4 +61,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": mixing.ORACLE, "op9_ngram_jaccard_join": jaccard.ORACLE}
+    return {"op2_license_scan": licenses.ORACLE, "op6_mixing": mixing.ORACLE, "op9_ngram_jaccard_join": jaccard.ORACLE}
