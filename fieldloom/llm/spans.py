@@ -18,7 +18,7 @@ ORDINARY = 16
 #: ORDINARY words without a mark is long in both places, and words at least SPAN - 1 from its ends are cut in both or in neither.
 #: A passage without marks holds a common run from 49 words on: a cut in the first 2 * SPAN - 1, at most max(3 * SPAN, WORDS - 1 + SPAN)
 #: words of run, and SPAN - 1 more. With marks the bound is max(3 * ORDINARY, WORDS - 1 + ORDINARY) + 2 * ORDINARY - 1 words, for
-#: three sentences of just ORDINARY words between two halves; a passage of 50 words with shorter sentences holds a run.
+#: three sentences of just ORDINARY words between two halves; the shorter the sentences, the sooner three whole ones of WORDS words fit in.
 SPAN = 8
 
 #: A run has less sentences and words than this. Line breaks cut it further, into at most ORDINARY times as many.
