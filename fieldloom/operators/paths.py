@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .stage import cut
@@ -56,14 +58,59 @@ def bfs_tree(edges: DataFrame, root: int) -> DataFrame:
             seen = cut(seen)
 
 
-def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """(v, component): the smallest vertex reachable. Labels flow along edges and then jump to their own label's label."""
-    label = cut(vertices.select("v", F.col("v").alias("component")))
+#: Links that one task settles: 16 bytes each. A larger table is contracted by rounds of joins first.
+ONE_TASK = 1 << 20
+
+
+def smallest_reachable(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vertices of the links (u, v), and the smallest vertex that each reaches."""
+    ids, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = ends[: len(u)], ends[len(u) :]
+    root = np.arange(len(ids))
     while True:
-        near = edges.select("src", "dst").join(label.select(F.col("v").alias("dst"), F.col("component").alias("c")), "dst").groupBy(F.col("src").alias("v")).agg(F.min("c").alias("c"))
-        better = label.join(near, "v", "left").select("v", F.least("component", F.coalesce("c", "component")).alias("m"), "component")
-        jump = better.select(F.col("v").alias("m"), F.col("m").alias("mm"))
-        new = cut(better.join(jump, "m").select("v", F.least("m", "mm").alias("component"), F.col("component").alias("old")))
-        if new.where("component <> old").isEmpty():
-            return new.select("v", "component")
-        label = new.select("v", "component")
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == root).all():
+            return ids, ids[root]
+        root = new
+
+
+def _settled(links: DataFrame) -> DataFrame:
+    """(v, component) of at most ONE_TASK links (u, v), by one task."""
+
+    def run(batches):
+        ends = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if ends:
+            ids, low = smallest_reachable(*(np.concatenate(x) for x in zip(*ends, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(low)], names=["v", "component"])
+
+    return links.select("u", "v").coalesce(1).mapInArrow(run, "v long, component long")
+
+
+def components(vertices: DataFrame, edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
+    """(v, component): the smallest vertex reachable.
+
+    Up to ``one_task`` links are settled by one task, however long their chains. More are contracted
+    first: each round links a vertex's larger neighbours, and then the vertex itself and its smaller
+    ones, to the smallest of them, so a chain shrinks by a constant factor, and there are never more links.
+    """
+    ends = edges.select(F.greatest("src", "dst").cast("long").alias("u"), F.least("src", "dst").cast("long").alias("v")).where("u <> v")
+    links = cut(ends.distinct())
+    mark = lambda: tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    seen, now = None, mark()
+    while now[0] > one_task and now != seen:
+        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # a link whose smaller end has nothing smaller stays
+        large = cut(large.unionByName(low.where("u <> m").select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        links = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        seen, now = now, mark()
+    found = _settled(links) if now[0] <= one_task else links.select(F.col("u").alias("v"), F.col("v").alias("component"))
+    return vertices.select("v").join(found, "v", "left").select("v", F.coalesce("component", "v").alias("component"))

@@ -579,3 +579,18 @@ def test_binary_mesh_files(spark, tmp_path):
     (tmp_path / "b.obj").write_text("\n".join(text))
     again = meshes.parse("b.obj", (tmp_path / "b.obj").read_bytes())
     assert again[0].tolist() == [[0, 0, 0], [1, 0, 0], [1, 1, 0], [0, 1, 0]] and len(again[1]) == 2
+
+
+@pytest.mark.parametrize("one_task", [paths.ONE_TASK, 0])
+def test_components_of_chains_take_few_rounds(spark, monkeypatch, one_task):
+    """A long chain whose ids go up and down, a ring, and single vertices, by one task and by joins alone."""
+    rng, kept = np.random.default_rng(3), []
+    chain, ring = [int(x) for x in rng.permutation(300)], list(range(1000, 1040))
+    links = [*zip(chain, chain[1:]), *zip(ring, ring[1:] + ring[:1])]
+    edges = spark.createDataFrame([(a, b, 1.0) for x, y in links for a, b in ((x, y), (y, x))], "src long, dst long, w double")
+    vertices = spark.createDataFrame([(v,) for v in [*chain, *ring, 5000, -7]], "v long")
+    plain = paths.cut
+    monkeypatch.setattr(paths, "cut", lambda df: kept.append(1) or plain(df))
+    got = {r.v: r.component for r in paths.components(vertices, edges, one_task).collect()}
+    assert got == {v: 0 for v in chain} | {v: 1000 for v in ring} | {5000: 5000, -7: -7}
+    assert len(kept) == 1 if one_task else len(kept) < 30
