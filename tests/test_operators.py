@@ -594,3 +594,19 @@ def test_components_of_chains_take_few_rounds(spark, monkeypatch, one_task):
     got = {r.v: r.component for r in paths.components(vertices, edges, one_task).collect()}
     assert got == {v: 0 for v in chain} | {v: 1000 for v in ring} | {5000: 5000, -7: -7}
     assert len(kept) == 1 if one_task else len(kept) < 30
+
+
+@pytest.mark.parametrize("metric", ["cosine"])
+def test_all_pairs_without_a_shuffle(spark, monkeypatch, metric):
+    """Several blocks, the last ones not full: every pair once, and no point is dealt to groups."""
+    monkeypatch.setattr(graphs, "BLOCK", 16)
+    pos = np.random.default_rng(5).normal(size=(75, 4))
+    points = spark.createDataFrame([(7 * i, [float(x) for x in p]) for i, p in enumerate(pos)], "v long, pos array<double>").repartition(5)
+    out = graphs.pairwise(points, metric)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {(r.i, r.j): r.x for r in out.collect()}
+    a, b = pos[:, None], pos[None]
+    want = {"cosine": 1 - (a * b).sum(2) / np.sqrt((a * a).sum(2) * (b * b).sum(2)), "cityblock": abs(a - b).sum(2), "sqeuclidean": ((a - b) ** 2).sum(2)}[metric]
+    assert out.count() == len(got) and got.keys() == {(7 * i, 7 * j) for i in range(75) for j in range(75) if i != j}
+    assert all(abs(x - want[i // 7, j // 7]) < 2e-9 for (i, j), x in got.items())
+    assert graphs.pairwise(points.limit(0), metric).count() == 0
