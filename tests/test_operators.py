@@ -596,7 +596,7 @@ def test_components_of_chains_take_few_rounds(spark, monkeypatch, one_task):
     assert len(kept) == 1 if one_task else len(kept) < 30
 
 
-@pytest.mark.parametrize("metric", ["cosine"])
+@pytest.mark.parametrize("metric", ["cosine", "cityblock"])
 def test_all_pairs_without_a_shuffle(spark, monkeypatch, metric):
     """Several blocks, the last ones not full: every pair once, and no point is dealt to groups."""
     monkeypatch.setattr(graphs, "BLOCK", 16)
@@ -610,3 +610,11 @@ def test_all_pairs_without_a_shuffle(spark, monkeypatch, metric):
     assert out.count() == len(got) and got.keys() == {(7 * i, 7 * j) for i in range(75) for j in range(75) if i != j}
     assert all(abs(x - want[i // 7, j // 7]) < 2e-9 for (i, j), x in got.items())
     assert graphs.pairwise(points.limit(0), metric).count() == 0
+
+
+def test_distances_round_halves_as_sql_does():
+    import duckdb
+
+    x = np.concatenate([np.arange(-40, 40) / 2**10 + 9, (np.arange(200) + 0.5) / 1e9, [-1.5e-9, 0.49999999999999994e-9, 2.5e-9, 2.0**53 + 1]])
+    want = [duckdb.execute("select round(cast(? as double), 9) + 0.0", [float(v)]).fetchall()[0][0] for v in x]
+    assert graphs.rounded(x).tolist() == want
