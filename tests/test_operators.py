@@ -596,7 +596,7 @@ def test_components_of_chains_take_few_rounds(spark, monkeypatch, one_task):
     assert len(kept) == 1 if one_task else len(kept) < 30
 
 
-@pytest.mark.parametrize("metric", ["cosine", "cityblock"])
+@pytest.mark.parametrize("metric", ["cosine", "cityblock", "sqeuclidean"])
 def test_all_pairs_without_a_shuffle(spark, monkeypatch, metric):
     """Several blocks, the last ones not full: every pair once, and no point is dealt to groups."""
     monkeypatch.setattr(graphs, "BLOCK", 16)
