@@ -618,3 +618,23 @@ def test_distances_round_halves_as_sql_does():
     x = np.concatenate([np.arange(-40, 40) / 2**10 + 9, (np.arange(200) + 0.5) / 1e9, [-1.5e-9, 0.49999999999999994e-9, 2.5e-9, 2.0**53 + 1]])
     want = [duckdb.execute("select round(cast(? as double), 9) + 0.0", [float(v)]).fetchall()[0][0] for v in x]
     assert graphs.rounded(x).tolist() == want
+
+
+@pytest.mark.parametrize("configuration", [False, True])
+def test_tiles_of_rewired_graphs_equal_the_whole_matrix(spark, monkeypatch, configuration):
+    monkeypatch.setattr(kernels, "TILE", 16)
+    rng = np.random.default_rng(2)
+    pairs = {tuple(sorted(x)) for x in rng.integers(0, 60, (150, 2)).tolist() if x[0] != x[1]} | {(7, 2**60 + 1)}
+    edges = spark.createDataFrame(both_ways([(a, b, 1.0) for a, b in pairs]), "src long, dst long, w double")
+
+    def icn(a):
+        s = np.sqrt(np.maximum(a.sum(0), 1))
+        return (a @ a + 2 * a) / np.outer(s, s)
+
+    want = {(r.i, r.j): (r.mean, r.std) for r in kernels.rewired_statistics(edges, 3, 40, icn, 1, configuration).collect()}
+    rows = kernels.rewired_interconnectedness(edges, 3, 40, 1, configuration).collect()
+    got = {(r.i, r.j): (r.mean, r.std) for r in rows}
+    n = len({v for p in pairs for v in p})
+    assert len(rows) == len(got) == n * n and got.keys() == want.keys()
+    assert all(abs(a - b) < 1e-12 for k in want for a, b in zip(want[k], got[k]))
+    assert all(r.std is None for r in kernels.rewired_interconnectedness(edges, 1, 40).limit(5).collect())
