@@ -653,3 +653,18 @@ def test_diffusion_without_edges_equals_that_of_edges(spark, monkeypatch, terms,
     got = values(integrators.NearDiffusion(points, 0.8, rate, terms).integrate(field))
     assert close(got, want)
     assert all(c == ["b", "z"] for c in stored)  # arrays of blocks, no edges
+
+
+@pytest.mark.parametrize(("n", "m"), [(40, 40), (40, 53), (1, 7), (9, 1)])
+def test_plans_have_no_cheaper_cycle(n, m):
+    """Marginals hold, and no cycle of entries with room lowers the cost, so the plan is optimal; ties and zero costs included."""
+    rng = np.random.default_rng(n + m)
+    cost = np.round(rng.uniform(size=(n, m)), 1)
+    p, q = np.full(n, 1 / n), rng.dirichlet(np.ones(m))
+    plan = dense.transport(cost, p, q)
+    assert np.allclose(plan.sum(1), p, atol=1e-12) and np.allclose(plan.sum(0), q, atol=1e-12) and plan.min() >= 0
+    u, v = np.zeros(n), np.zeros(m)
+    for _ in range(n + m + 1):
+        v = np.minimum(v, (u[:, None] + cost).min(0))
+        u = np.minimum(u, np.where(plan > 1e-12, v - cost, np.inf).min(1))
+    assert (v <= (u[:, None] + cost).min(0) + 1e-9).all()
