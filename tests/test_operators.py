@@ -612,6 +612,41 @@ def test_all_pairs_without_a_shuffle(spark, monkeypatch, metric):
     assert graphs.pairwise(points.limit(0), metric).count() == 0
 
 
+def test_all_pairs_are_stored_in_little_more_than_half_their_distances(spark, tmp_path):
+    """Both ways round of a distance are near each other, so a file of (i, j, x) holds it once: 8.5 bytes a row before."""
+    rng = np.random.default_rng(9)
+    points = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(rng.normal(size=(2000, 4)))], "v long, pos array<double>")
+    graphs.pairwise(points, "sqeuclidean").write.parquet(str(tmp_path / "pairs"), compression="snappy")
+    assert spark.read.parquet(str(tmp_path / "pairs")).count() == 2000 * 1999
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 6 * 2000 * 1999
+
+
+@pytest.mark.parametrize("metric", ["sqeuclidean", "cityblock"])
+def test_pairs_that_meet_once_are_given_both_ways(spark, monkeypatch, metric):
+    """Blocks and strips that are not full, copies of points, and an id that two blocks hold."""
+    monkeypatch.setattr(graphs, "BLOCK", 16)
+    monkeypatch.setattr(graphs, "MIRROR", 5)
+    pos = np.random.default_rng(6).integers(-3, 4, (71, 3)) / 8
+    ids = [*range(70), 0]
+    out = graphs.pairwise(spark.createDataFrame([(v, p.tolist()) for v, p in zip(ids, pos, strict=True)], "v long, pos array<double>"), metric)
+    by = {"sqeuclidean": lambda a, b: ((a - b) ** 2).sum(), "cityblock": lambda a, b: abs(a - b).sum()}[metric]
+    want = sorted((v, u, by(a, b)) for v, a in zip(ids, pos, strict=True) for u, b in zip(ids, pos, strict=True) if v != u)
+    assert sorted(map(tuple, out.collect())) == want
+
+
+def test_squares_by_a_product_round_as_their_sums_do():
+    rng = np.random.default_rng(1)
+    for scale in (1e-160, 1e-6, 1.0, 10.0, 300.0, 1e5, 1e160, np.inf):
+        a, b = rng.normal(size=(60, 64)), rng.normal(size=(50, 64))
+        halves = np.round(a * 32) / 2**15, np.round(b * 32) / 2**15
+        copies = a, np.concatenate([a[:30], a[:20] + rng.integers(0, 2, (20, 64)) * 2.0**-20])
+        for x, y in ((a, b), halves, copies):
+            with np.errstate(all="ignore"):
+                x, y = x * scale, y * scale
+                got, want = graphs._rounded_squares(x, y), graphs.rounded(graphs._squares(x, y))
+            assert np.array_equal(got, want, equal_nan=True) and not np.signbit(got[got == 0]).any()
+
+
 def test_distances_round_halves_as_sql_does():
     import duckdb
 
