@@ -3,6 +3,7 @@
 import json
 import math
 import struct
+import time
 
 import numpy as np
 import pytest
@@ -703,3 +704,61 @@ def test_plans_have_no_cheaper_cycle(n, m):
         v = np.minimum(v, (u[:, None] + cost).min(0))
         u = np.minimum(u, np.where(plan > 1e-12, v - cost, np.inf).min(1))
     assert (v <= (u[:, None] + cost).min(0) + 1e-9).all()
+
+
+def test_plans_of_changing_costs_begin_at_the_last_tree():
+    """Each plan is optimal, with ties, rows and columns without mass and even masses; slowly changing costs take seconds, not minutes."""
+    rng = np.random.default_rng(4)
+
+    def optimal(cost, plan):
+        u, v = np.zeros(len(plan)), np.zeros(len(plan[0]))
+        for _ in range(len(u) + len(v) + 1):
+            v = np.minimum(v, (u[:, None] + cost).min(0))
+            u = np.minimum(u, np.where(plan > 1e-12, v - cost, np.inf).min(1))
+        return bool((v <= (u[:, None] + cost).min(0) + 1e-9).all())
+
+    some = rng.dirichlet(np.ones(30)) * (np.arange(30) % 3 > 0)
+    for p, q in ((some / some.sum(), np.full(20, 0.05)), (np.full(24, 1 / 24), np.full(24, 1 / 24)), (np.full(24, 1 / 24), np.full(36, 1 / 36))):
+        exact, cost = dense.Transport(p, q), np.round(rng.uniform(size=(len(p), len(q))), 1)
+        for _ in range(5):
+            plan = exact.plan(cost)
+            assert np.allclose(plan.sum(1), p, atol=1e-12) and np.allclose(plan.sum(0), q, atol=1e-12) and plan.min() >= 0 and optimal(cost, plan)
+            cost = cost + np.round(rng.uniform(-0.2, 0.2, cost.shape), 1)
+        assert np.isnan(exact.plan(cost * np.nan)).all() and optimal(cost, exact.plan(cost))
+
+    p, q = np.full(500, 1 / 500), np.full(560, 1 / 560)
+    a, b, began = rng.normal(size=(500, 8)), rng.normal(size=(560, 8)), time.process_time()
+    exact = dense.Transport(p, q)
+    for k in range(20):
+        plan = exact.plan(-(a + 0.01 * k) @ b.T)
+    assert time.process_time() - began < 40
+    assert optimal(-(a + 0.19) @ b.T, plan)
+
+
+def test_conditional_gradient_makes_one_product_a_round():
+    class Counted(np.ndarray):
+        made = 0
+
+        def __matmul__(self, other):
+            Counted.made += 1
+            return np.asarray(self) @ np.asarray(other)
+
+    rng = np.random.default_rng(3)
+    c1, c2 = (abs(x[:, None] - x[None]) for x in (rng.normal(size=20), rng.normal(size=23)))
+    p, q = np.full(20, 0.05), np.full(23, 1 / 23)
+    plan, cost = gromov.conditional_gradient(np.zeros((20, 23)), c1.view(Counted), c2, p, q, iterations=6, tolerance=0.0)
+    assert Counted.made <= 9  # one for the constant part, the first plan, the last value, and each round: 21 before
+    want = (gromov.square_tensor(c1, c2, p, q, plan) * plan).sum()
+    assert abs(cost - want) < 1e-12
+
+
+def test_plans_of_clouds_are_those_of_their_distances(spark):
+    rng = np.random.default_rng(8)
+    rows = [(0, side, 100 * side + v, [float(x) for x in rng.normal(size=3)], v % 3) for side, n in ((0, 9), (1, 11)) for v in range(n)]
+    clouds = spark.createDataFrame(rows, "pair long, side int, v long, pos array<double>, label long")
+    pairs = [(0, s, v, u, round(math.dist(a, b), 9), y) for _, s, v, a, y in rows for _, z, u, b, _ in rows if s == z and u != v]
+    want = gromov.compare(spark.createDataFrame(pairs, "pair long, side int, i long, j long, x double, label long"), alpha=0.5).collect()
+    got = gromov.compare(clouds, alpha=0.5).collect()
+    assert {(r.i, r.j) for r in got} == {(r.i, r.j) for r in want} and abs(got[0].cost - want[0].cost) < 1e-8
+    x = {(r.i, r.j): r.x for r in want}
+    assert all(abs(r.x - x[r.i, r.j]) < 1e-8 for r in got)
