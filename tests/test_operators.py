@@ -762,3 +762,28 @@ def test_plans_of_clouds_are_those_of_their_distances(spark):
     assert {(r.i, r.j) for r in got} == {(r.i, r.j) for r in want} and abs(got[0].cost - want[0].cost) < 1e-8
     x = {(r.i, r.j): r.x for r in want}
     assert all(abs(r.x - x[r.i, r.j]) < 1e-8 for r in got)
+
+
+@pytest.mark.parametrize("include_self", [False, True])
+def test_nearest_points_of_many_blocks(spark, monkeypatch, include_self):
+    """Copies, distances that are equal once rounded, far points whose squares lose digits, an id that two rows have and values that are no numbers."""
+    monkeypatch.setattr(graphs, "BLOCK", 8)
+    rng = np.random.default_rng(7)
+    pos = np.concatenate([rng.normal(size=(150, 5)), np.zeros((20, 5)), rng.integers(-1, 2, (60, 5)) + 4e-10 * rng.integers(0, 3, (60, 5)), 1e6 + rng.normal(size=(20, 5)), [[np.nan] * 5, [np.inf] * 5, [1e200] * 5]])
+    ids = rng.permutation(len(pos))
+    ids[3] = ids[170]
+    points = spark.createDataFrame([(int(v), p.tolist()) for v, p in zip(ids, pos, strict=True)], "v long, pos array<double>")
+    with np.errstate(all="ignore"):
+        d = graphs.rounded(graphs._METRIC["euclidean"](pos, pos))
+    want = []
+    for v in set(ids.tolist()):
+        near = sorted((d[a, b], int(u)) for a in np.flatnonzero(ids == v) for b, u in enumerate(ids) if (include_self or u != v) and np.isfinite(d[a, b]))
+        want += [(v, u, w) for w, u in near[:6]]
+    assert sorted((r.src, r.dst, r.w) for r in graphs.knn_graph(points, 6, include_self=include_self).collect()) == sorted(want)
+
+
+def test_nearest_points_are_ranked_among_few(spark, monkeypatch):
+    """A task keeps k rows of each point for all blocks that it reads: k of each block before."""
+    monkeypatch.setattr(graphs, "BLOCK", 8)
+    points = spark.range(512).select(F.col("id").alias("v"), F.array(F.sin("id"), F.cos(F.col("id") * 3)).alias("pos"))
+    assert graphs._nearest(points, 4, False).count() <= 512 * 4 * 8
